@@ -112,7 +112,7 @@ LABELLED = (
     "from documents d left join labels l on d.doc_id = l.doc_id)"
 )
 
-_SCORE = "round(1 / (1 + exp(-((l_quantity - 25.5) / 20 + (l_discount - 0.05) * 10 - 1.2))), 6)"
+_SCORE = "round(1 / (1 + exp(-((l_quantity - 25.5) / 20 + (l_discount - 0.05) * 10 - l_extendedprice / 200000 - 1.0))), 6)"
 _SCORE_B = "round(1 / (1 + exp(-((l_extendedprice - 50000) / 40000 - l_tax * 5 - 0.8))), 6)"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.stats import entropy, n_log_n, odds_ratio, ratio, uncertainty, wilson
 from .relations import _labels, _numbers
-from .scale import at, by_name, exact_quantiles, leaf, literal_table, one_row, unpivot
+from .scale import at, by_name, exact_quantiles, literal_table, one_row, quantile_edges, unpivot
 
 # Default support and review limits.
 MINIMUM_GROUP = 50
@@ -162,43 +162,10 @@ def numeric_effect(
 # F3
 
 
-def _bin_counts(long: DataFrame, bins: int) -> Column:
-    """Map feature -> min(bins, distinct values), without shuffling all values.
-
-    A feature with enough distinct leaves has enough distinct values; only the
-    remaining few-valued features are counted by value.
-    """
-    octave, slot = leaf(F.col("value"))
-    leaves = long.groupBy("feature", octave.alias("_o"), slot.alias("_s")).agg(F.count("*").alias("n"))
-    coarse = leaves.groupBy("feature").agg(F.count("*").alias("q"))
-    few = at(by_name(coarse, "feature", ["q"]), F.col("feature"))
-    exact = (
-        long.withColumn("_few", few)
-        .where(F.col("_few.q") < bins)
-        .groupBy("feature", "value")
-        .agg(F.count("*").alias("n"))
-        .groupBy("feature")
-        .agg(F.count("*").alias("q"))
-    )
-    merged = coarse.unionByName(exact).groupBy("feature").agg(F.least(F.max("q"), F.lit(bins)).cast("int").alias("q"))
-    return by_name(merged, "feature", ["q"])
-
-
-def _edges(long: DataFrame, bins: int) -> DataFrame:
-    """Distinct linear-quantile edges per feature, as a sorted array."""
-    sized = long.withColumn("_q", at(_bin_counts(long, bins), F.col("feature")))
-    sized = sized.select("feature", "value", F.col("_q.q").alias("q"))
-    points = {f"e{i}": F.least(F.try_divide(F.lit(float(i)), F.col("q").cast("double")), F.lit(1.0)) for i in range(bins + 1)}
-    found = exact_quantiles(sized, "value", points, ["feature", "q"])
-    return found.select("feature", F.array_sort(F.array_distinct(F.array(*points))).alias("edges"))
-
-
-def bin_of(value: Column, edges: Column, bins: int) -> Column:
+def bin_of(value: str, edges: str, bins: int) -> Column:
     """1 + number of edges after the first that lie strictly below the value."""
-    out = F.lit(1)
-    for i in range(1, bins):
-        out = out + F.coalesce((F.get(edges, F.lit(i)) < value).cast("int"), F.lit(0))
-    return out
+    above = [f"case when get({edges}, {i}) < {value} then 1 else 0 end" for i in range(1, bins)]
+    return F.expr(" + ".join(["1", *above]))
 
 
 def quantile_bin_rates(
@@ -214,15 +181,16 @@ def quantile_bin_rates(
     Edges are true quantiles; equal edges merge, so hot values widen a bin.
     """
     long = _long(df, features, target)
-    edges = _edges(long, bins)
-    lookup = by_name(edges, "feature", ["edges"])
+    lookup = by_name(quantile_edges(long, "value", bins, ["feature"]), "feature", ["edges"])
     placed = long.withColumn("_e", at(lookup, F.col("feature")))
     counts = (
-        placed.select("feature", bin_of(F.col("value"), F.col("_e.edges"), bins).alias("bin"), "hit")
+        placed.select("feature", bin_of("value", "_e.edges", bins).alias("bin"), "hit")
         .groupBy("feature", "bin")
         .agg(F.count("*").alias("n"), F.sum("hit").cast("bigint").alias("positives"))
     )
     several = F.size("edges") > 1
+    # The same one-row lookup, opened up: one row per feature and bin.
+    edges = df.sparkSession.range(1).select(F.explode(lookup).alias("feature", "_e")).select("feature", "_e.edges")
     grid = edges.where(several).select(
         "feature",
         "edges",

@@ -224,7 +224,7 @@ def calibration_curve(
         tagged = scored.withColumn("_g", F.to_json(F.struct(*groups)) if groups else F.lit(""))
         edges = exact_quantiles(tagged, score, names, ["_g"]).select("_g", F.array(*names).alias("edges"))
         lookup = at(by_name(edges, "_g", ["edges"]), F.col("_g"))
-        placed = tagged.withColumn("_e", lookup).withColumn("bin", bin_of(s, F.col("_e.edges"), bins))
+        placed = tagged.withColumn("_e", lookup).withColumn("bin", bin_of(f"`{score}`", "_e.edges", bins))
     else:
         raise ValueError("strategy must be 'uniform' or 'quantile'")
     return placed.groupBy(*groups, "bin").agg(

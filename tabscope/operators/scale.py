@@ -17,7 +17,6 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SLOTS = 65536
 
@@ -97,51 +96,55 @@ def pair_counts(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tu
 # ordered running totals
 
 
-def leaf(value: Column) -> tuple[Column, Column]:
-    """(octave, slot) of a finite or infinite number; monotone in the value."""
-    x = value.cast("double")
-    size = F.abs(x)
-    octave = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1000)), F.lit(1024))
-    sign = F.signum(x)
-    top = (sign * (octave + 1100)).cast("int")
-    slot = sign * F.floor(size * F.pow(F.lit(2.0), -octave.cast("double")) * SLOTS)
-    return top, slot.cast("bigint")
+def leaf_sql(value: str) -> tuple[str, str]:
+    """SQL for (octave, slot) of a finite or infinite number; monotone in the value.
+
+    Written as text: a plan needs it several times, and one parsed expression is
+    much cheaper to build from Python than a tree of column calls.
+    """
+    x = f"cast({value} as double)"
+    octave = f"least(greatest(floor(log2(abs({x}))), -1000), 1024)"
+    top = f"cast(signum({x}) * ({octave} + 1100) as int)"
+    slot = f"cast(signum({x}) * floor(abs({x}) * pow(2.0D, -cast({octave} as double)) * {SLOTS}) as bigint)"
+    return top, slot
+
+
+def _with_leaf(df: DataFrame, value: str) -> DataFrame:
+    octave, slot = leaf_sql(f"`{value}`")
+    return df.withColumns({"_octave": F.expr(octave), "_slot": F.expr(slot)})
 
 
 def _leaf_offsets(
     leaves: DataFrame, groups: Sequence[str], measures: Sequence[str], descending: bool
 ) -> DataFrame:
     """Add ``before_m`` (sum over earlier leaves) and ``total_m`` to leaf sums."""
-    g = list(groups)
-    slot = F.desc("_slot") if descending else F.asc("_slot")
-    octave = F.desc("_octave") if descending else F.asc("_octave")
-    inner = (
-        Window.partitionBy(*g, "_octave").orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    tops = leaves.groupBy(*g, "_octave").agg(*[F.sum(m).alias(f"_top_{m}") for m in measures])
+    g = "".join(f"`{c}`, " for c in groups)
+    way = "desc" if descending else "asc"
+    earlier = "rows between unbounded preceding and 1 preceding"
+    scope = ", ".join(f"`{c}`" for c in groups) or "0"
     # One row per octave: at most a few thousand per group.
-    scope = g or [F.lit(0)]
-    earlier = Window.partitionBy(*scope).orderBy(octave).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*scope)
-    tops = tops.select(
-        *g,
+    tops = leaves.groupBy(*groups, "_octave").agg(*[F.sum(m).alias(f"_top_{m}") for m in measures], F.count("*").alias("_k"))
+    tops = tops.selectExpr(
+        *[f"`{c}`" for c in groups],
         "_octave",
-        *[F.coalesce(F.sum(f"_top_{m}").over(earlier), F.lit(0)).alias(f"_skip_{m}") for m in measures],
-        *[F.sum(f"_top_{m}").over(whole).alias(f"total_{m}") for m in measures],
+        f"sum(_k) over (partition by {scope}) as _leaves",
+        *[f"coalesce(sum(_top_{m}) over (partition by {scope} order by _octave {way} {earlier}), 0) as _skip_{m}" for m in measures],
+        *[f"sum(_top_{m}) over (partition by {scope}) as total_{m}" for m in measures],
     )
-    inside = leaves.select(
-        *g,
+    inside = leaves.selectExpr(
+        *[f"`{c}`" for c in groups],
         "_octave",
         "_slot",
-        *[F.col(m).alias(f"_leaf_{m}") for m in measures],
-        *[F.coalesce(F.sum(m).over(inner), F.lit(0)).alias(f"_in_{m}") for m in measures],
+        *[f"{m} as _leaf_{m}" for m in measures],
+        *[f"coalesce(sum({m}) over (partition by {g}_octave order by _slot {way} {earlier}), 0) as _in_{m}" for m in measures],
     )
-    return inside.join(tops, [*g, "_octave"]).select(
-        *g,
+    return inside.join(tops, [*groups, "_octave"]).selectExpr(
+        *[f"`{c}`" for c in groups],
         "_octave",
         "_slot",
+        "_leaves",
         *[f"_leaf_{m}" for m in measures],
-        *[(F.col(f"_in_{m}") + F.col(f"_skip_{m}")).alias(f"before_{m}") for m in measures],
+        *[f"_in_{m} + _skip_{m} as before_{m}" for m in measures],
         *[f"total_{m}" for m in measures],
     )
 
@@ -160,24 +163,15 @@ def ordered_totals(
     distinct values, so a value shared by a third of all rows is one row here.
     Group keys must not be null.
     """
-    g = list(groups)
-    octave, slot = leaf(F.col(order))
-    keyed = df.withColumns({"_octave": octave, "_slot": slot})
-    leaves = keyed.groupBy(*g, "_octave", "_slot").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = _leaf_offsets(leaves, g, measures, descending)
-    position = F.desc(order) if descending else F.asc(order)
-    local = (
-        Window.partitionBy(*g, "_octave", "_slot")
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = keyed.withColumns({f"_run_{m}": F.sum(m).over(local) for m in measures})
-    joined = running.join(
-        offsets.drop(*[f"_leaf_{m}" for m in measures]), [*g, "_octave", "_slot"]
-    )
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"before_{m}") + F.col(f"_run_{m}")).alias(f"cum_{m}") for m in measures],
+    g, way = "".join(f"`{c}`, " for c in groups), "desc" if descending else "asc"
+    keyed = _with_leaf(df, order)
+    leaves = keyed.groupBy(*groups, "_octave", "_slot").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = _leaf_offsets(leaves, groups, measures, descending).drop("_leaves", *[f"_leaf_{m}" for m in measures])
+    local = f"over (partition by {g}_octave, _slot order by `{order}` {way} rows between unbounded preceding and current row)"
+    running = keyed.selectExpr("*", *[f"sum({m}) {local} as _run_{m}" for m in measures])
+    return running.join(offsets, [*groups, "_octave", "_slot"]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"before_{m} + _run_{m} as cum_{m}" for m in measures],
         *[f"total_{m}" for m in measures],
     )
 
@@ -185,75 +179,97 @@ def ordered_totals(
 def average_ranks(counts: DataFrame, value: str, n: str, groups: Sequence[str] = ()) -> DataFrame:
     """Add ``rank``: the mean 1-based position of each distinct value."""
     out = ordered_totals(counts, value, [n], groups)
-    middle = F.col(f"cum_{n}") - (F.col(n) - 1) / F.lit(2.0)
-    return out.withColumn("rank", middle)
+    return out.withColumn("rank", F.expr(f"cum_{n} - ({n} - 1) / 2.0D"))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Mapping[str, float | Column],
-    groups: Sequence[str] = (),
-    weight: str | None = None,
+# --------------------------------------------------------------------------
+# exact quantiles
+
+
+def _holds(start: str, size: str, position: str) -> str:
+    """SQL: the run [start, start + size) of a sorted group covers a 0-based position."""
+    lo, hi = f"floor({position})", f"ceil({position})"
+    return f"({start} <= {hi} and {lo} < {start} + {size})"
+
+
+def _located_values(
+    df: DataFrame, value: str, groups: Sequence[str], wanted: str, weight: str | None
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per group.
+    """Distinct values, with sorted start position, of the leaves a condition picks.
 
     First pass: leaf counts, combined map-side.  Second pass: only rows in the
-    leaves that hold a wanted position are counted per distinct value.  The
-    broadcast side has at most two leaves per probability and group; ``groups``
-    must be declared names (features, classes, models), which bounds it.  A
-    probability may be an expression over the group columns.
+    wanted leaves are counted per value.  The wanted leaves are broadcast: they
+    are a small multiple of (probabilities x declared groups), whatever the data.
     """
-    g = list(groups)
-    octave, slot = leaf(F.col(value))
-    n = F.col(weight) if weight else F.lit(1)
-    keyed = df.where(F.col(value).isNotNull()).select(
-        *g, value, n.cast("bigint").alias("n"), octave.alias("_octave"), slot.alias("_slot")
+    g = "".join(f"`{c}`, " for c in groups)
+    octave, slot = leaf_sql(f"`{value}`")
+    keyed = df.where(f"`{value}` is not null").selectExpr(
+        *[f"`{c}`" for c in groups],
+        f"`{value}` as _v",
+        f"cast({weight or 1} as bigint) as n",
+        f"{octave} as _octave",
+        f"{slot} as _slot",
     )
-    leaves = keyed.groupBy(*g, "_octave", "_slot").agg(F.sum("n").alias("n"))
-    offsets = _leaf_offsets(leaves, g, ["n"], descending=False)
-
-    def positions(p: float | Column) -> tuple[Column, Column, Column]:
-        h = (F.col("total_n") - 1) * (p if isinstance(p, Column) else F.lit(float(p)))
-        return h, F.floor(h), F.ceil(h)
-
-    def holds(start: Column, size: Column, index: Column) -> Column:
-        return (start <= index) & (index < start + size)
-
-    wanted = F.lit(False)
-    for p in probabilities.values():
-        _, lo, hi = positions(p)
-        start, size = F.col("before_n"), F.col("_leaf_n")
-        wanted = wanted | holds(start, size, lo) | holds(start, size, hi)
-    targets = offsets.where(wanted).select(*g, "_octave", "_slot", "before_n", "total_n")
+    keys = [*groups, "_octave", "_slot"]
+    offsets = _leaf_offsets(keyed.groupBy(*keys).agg(F.sum("n").alias("n")), groups, ["n"], descending=False)
+    targets = offsets.where(wanted).select(*keys, "before_n", "total_n", "_leaves")
     inside = (
-        keyed.join(F.broadcast(targets), [*g, "_octave", "_slot"])
-        .groupBy(*g, "_octave", "_slot", value, "before_n", "total_n")
+        keyed.join(F.broadcast(targets), keys)
+        .groupBy(*keys, "_v", "before_n", "total_n", "_leaves")
         .agg(F.sum("n").alias("n"))
     )
-    earlier = (
-        Window.partitionBy(*g, "_octave", "_slot")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    earlier = f"over (partition by {g}_octave, _slot order by _v rows between unbounded preceding and 1 preceding)"
+    return inside.selectExpr(
+        *[f"`{c}`" for c in groups],
+        "cast(_v as double) as _v",
+        "n",
+        "total_n",
+        "_leaves",
+        f"before_n + coalesce(sum(n) {earlier}, 0) as _start",
     )
-    placed = inside.withColumn(
-        "_start", F.col("before_n") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    )
-    picks = []
-    for i, p in enumerate(probabilities.values()):
-        h, lo, hi = positions(p)
-        start, size = F.col("_start"), F.col("n")
-        v = F.col(value).cast("double")
-        picks += [
-            F.max(F.when(holds(start, size, lo), v)).alias(f"_lo_{i}"),
-            F.max(F.when(holds(start, size, hi), v)).alias(f"_hi_{i}"),
-            F.max(h - lo).alias(f"_t_{i}"),
-        ]
-    found = placed.groupBy(*g).agg(*picks)
-    return found.select(
-        *g,
-        *[
-            (F.col(f"_lo_{i}") + (F.col(f"_hi_{i}") - F.col(f"_lo_{i}")) * F.col(f"_t_{i}")).alias(name)
-            for i, name in enumerate(probabilities)
-        ],
+
+
+def _interpolated(position: str) -> str:
+    """SQL aggregate: the linearly interpolated value at a 0-based position."""
+    lo = f"max(case when _start <= floor({position}) and floor({position}) < _start + n then _v end)"
+    hi = f"max(case when _start <= ceil({position}) and ceil({position}) < _start + n then _v end)"
+    return f"{lo} + ({hi} - {lo}) * max({position} - floor({position}))"
+
+
+def exact_quantiles(
+    df: DataFrame,
+    value: str,
+    probabilities: Mapping[str, float],
+    groups: Sequence[str] = (),
+    weight: str | None = None,
+) -> DataFrame:
+    """Exact linear-interpolated quantiles, one row per group.
+
+    ``groups`` must be declared names (features, classes, models); see
+    :func:`_located_values` for what is shuffled and broadcast.
+    """
+    places = {name: f"((total_n - 1) * {float(p)!r}D)" for name, p in probabilities.items()}
+    wanted = " or ".join(_holds("before_n", "_leaf_n", h) for h in places.values())
+    located = _located_values(df, value, groups, wanted, weight)
+    return located.groupBy(*groups).agg(*[F.expr(_interpolated(h)).alias(name) for name, h in places.items()])
+
+
+def quantile_edges(df: DataFrame, value: str, bins: int, groups: Sequence[str]) -> DataFrame:
+    """Sorted distinct edges of q = min(bins, distinct values) equal-count bins.
+
+    A group spread over at least ``bins`` leaves has that many distinct values.  A
+    group in fewer leaves is counted by value as a whole in the same second pass,
+    which then yields its number of distinct values.
+    """
+    even = [f"((total_n - 1) * least({i} / {bins}D, 1D))" for i in range(bins + 1)]
+    wanted = f"_leaves < {bins} or " + " or ".join(_holds("before_n", "_leaf_n", h) for h in even)
+    located = _located_values(df, value, groups, wanted, None)
+    sizes = located.groupBy(*groups).agg(
+        F.expr(f"cast(least({bins}, greatest(max(_leaves), count(*))) as double)").alias("_q")
     )
+    # One row per declared group.
+    sized = located.join(F.broadcast(sizes), list(groups))
+    own = [f"((total_n - 1) * least({i} / _q, 1D))" for i in range(bins + 1)]
+    found = sized.groupBy(*groups).agg(*[F.expr(_interpolated(h)).alias(f"_e{i}") for i, h in enumerate(own)])
+    points = ", ".join(f"_e{i}" for i in range(bins + 1))
+    return found.select(*groups, F.expr(f"array_sort(array_distinct(array({points})))").alias("edges"))

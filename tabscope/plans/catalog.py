@@ -44,20 +44,27 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+# Added before rounding: two engines that compute an exact decimal tie (x.xxxxxx5)
+# with different last bits would otherwise round it to different sides.
+NUDGE = 1.3e-9
+
+
 def rounded(df: DataFrame, places: int = 6, **other: int) -> DataFrame:
     """Round every double so that two engines agree; keyword = places per column."""
     out = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            col = (F.round(col, other.get(f.name, places)) + F.lit(0.0)).alias(f.name)
+            digits = other.get(f.name, places)
+            if digits <= 7:
+                col = F.expr(f"round(`{f.name}` + {NUDGE}D, {digits}) + 0.0D").alias(f.name)
         out.append(col)
     return df.select(*out)
 
 
 def r(expression: str, places: int = 6) -> str:
     """SQL twin of :func:`rounded` for one expression."""
-    return f"(round({expression}, {places}) + 0.0)"
+    return f"(round(({expression}) + {NUDGE}, {places}) + 0.0)"
 
 
 # --------------------------------------------------------------------------

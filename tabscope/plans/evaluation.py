@@ -46,9 +46,6 @@ def _(t: Tables):
     return rounded(out, threshold=16)
 
 
-ORACLE_T = "threshold"
-
-
 def _sweep_sql(source: str) -> str:
     return f"""(with c as (select score, count(*) as n, sum(label) as pos from (select score, label, 1 as k from {source}) group by score
         union all select t, 0, 0 from (select unnest([0.0, 0.5, 1.0]::double[]) as t)),

@@ -104,8 +104,10 @@ def leaf_sql(value: str) -> tuple[str, str]:
     """
     x = f"cast({value} as double)"
     octave = f"least(greatest(floor(log2(abs({x}))), -1000), 1024)"
-    top = f"cast(signum({x}) * ({octave} + 1100) as int)"
-    slot = f"cast(signum({x}) * floor(abs({x}) * pow(2.0D, -cast({octave} as double)) * {SLOTS}) as bigint)"
+    # coalesce makes both non-nullable: no null filter is then inferred for the joins
+    # on them, so all branches keep the same input and share its exchange.
+    top = f"coalesce(cast(signum({x}) * ({octave} + 1100) as int), 0)"
+    slot = f"coalesce(cast(signum({x}) * floor(abs({x}) * pow(2.0D, -cast({octave} as double)) * {SLOTS}) as bigint), 0L)"
     return top, slot
 
 
@@ -138,7 +140,8 @@ def _leaf_offsets(
         *[f"{m} as _leaf_{m}" for m in measures],
         *[f"coalesce(sum({m}) over (partition by {g}_octave order by _slot {way} {earlier}), 0) as _in_{m}" for m in measures],
     )
-    return inside.join(tops, [*groups, "_octave"]).selectExpr(
+    # Broadcast bound: octaves (about 4,200 at most) times declared groups.
+    return inside.join(F.broadcast(tops), [*groups, "_octave"]).selectExpr(
         *[f"`{c}`" for c in groups],
         "_octave",
         "_slot",

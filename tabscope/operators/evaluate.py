@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import f_beta, ratio, ratio_or_zero
+from .checks import assert_checks
 from .effects import bin_of
 from .scale import at, by_name, exact_quantiles, ordered_totals
 
@@ -273,13 +274,22 @@ class FinalEvaluation:
 
 
 def evaluate_final(
-    scored: DataFrame, thresholds: Sequence[float], reference: Mapping[str, float] | None = None
+    scored: DataFrame,
+    path: str,
+    thresholds: Sequence[float],
+    reference: Mapping[str, float] | None = None,
+    gate: DataFrame | None = None,
 ) -> FinalEvaluation:
-    """Score once, derive everything: the scored table is persisted and shared.
+    """Score once into ``path``, derive everything from the stored scores.
 
+    ``gate`` is a check table that must pass first.  An existing path is refused,
+    so a second evaluation of the same test split cannot happen by accident.
     ``reference`` holds earlier metric values for the deltas.
     """
-    kept = scored.persist()
+    if gate is not None:
+        assert_checks(gate)
+    scored.write.mode("errorifexists").parquet(path)
+    kept = scored.sparkSession.read.schema(scored.schema).parquet(path)
     probability = probability_metrics(kept)
     deltas = None
     if reference:

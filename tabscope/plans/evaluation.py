@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
+from ..operators.checks import checks_from
 from .catalog import SCORED, TWO_MODELS, Tables, query, r, rounded, scored_lines, two_models
 
 _EPS = "2.220446049250313e-16"
@@ -159,7 +160,11 @@ def _(t: Tables):
 
 @query("final_evaluation")
 def _(t: Tables):
-    done = evaluate.evaluate_final(scored_lines(t), [0.5, 0.2577809673219062], {"average_precision": 0.33, "roc_auc": 0.5})
+    gate = checks_from(
+        t.lineitem.agg(F.count_if(F.col("l_returnflag").isNull()).alias("n")), [("labels_present", "test", "l_returnflag", F.col("n"))]
+    )
+    earlier = {"average_precision": 0.33, "roc_auc": 0.5}
+    done = evaluate.evaluate_final(scored_lines(t), t.scratch(), [0.5, 0.2577809673219062], earlier, gate)
     free = evaluate.long_metrics(done.probability, ["average_precision", "roc_auc", "log_loss", "brier_score"])
     fixed = evaluate.long_metrics(done.fixed, ["precision", "recall", "f1", "f2"], ["threshold"])
     parts = [

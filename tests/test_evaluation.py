@@ -103,3 +103,12 @@ def test_calibration_matches_numpy(spark, data, strategy):
     assert [r.positive_share for r in got] == pytest.approx(want.p.tolist())
     with pytest.raises(ValueError):
         evaluate.calibration_curve(spark.createDataFrame(data), strategy="other")
+
+
+def test_final_evaluation_happens_once(spark, data, tmp_path):
+    df, path = spark.createDataFrame(data), str(tmp_path / "scores")
+    done = evaluate.evaluate_final(df, path, [0.5], {"roc_auc": 0.5})
+    auc = evaluate.probability_metrics(df).collect()[0].roc_auc
+    assert done.deltas.collect()[0].delta == pytest.approx(auc - 0.5)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        evaluate.evaluate_final(df, path, [0.5])

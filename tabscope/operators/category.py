@@ -268,7 +268,6 @@ def category_summary(
         F.count("*").alias("labels"),
         F.sum("n").alias("n"),
         F.max("n").alias("top"),
-        F.max(F.struct(F.col("n"))).alias("_t"),
         F.count_if("_rare").alias("rare"),
         F.sum(F.when(F.col("_rare"), F.col("n")).otherwise(0)).alias("rare_rows"),
         F.count_if(~F.col("_expected")).alias("unexpected"),

@@ -86,22 +86,21 @@ def rank_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     joined back by value; a value shared by very many joint rows is a skewed
     equi-join with one match per row, which AQE splits.
     """
-    joint = pair_counts(df, _numbers(df, columns), list(combinations(columns, 2)))
-    return _rank_correlation(joint)
+    return _rank_correlation(df, _numbers(df, columns), list(combinations(columns, 2)))
 
 
-def _rank_correlation(joint: DataFrame) -> DataFrame:
+def _rank_correlation(df: DataFrame, values: Mapping[str, Column], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    joint = pair_counts(df, values, pairs, numbered=True)
     ranks = {}
     for side in ("a", "b"):
-        counts = joint.groupBy(*PAIR, f"value_{side}").agg(F.sum("n").alias("n"))
-        ranked = average_ranks(counts, f"value_{side}", "n", PAIR)
-        centred = F.col("rank") - (F.col("total_n") + 1) / F.lit(2.0)
-        ranks[side] = ranked.select(*PAIR, f"value_{side}", centred.alias(f"rank_{side}"))
-    placed = joint.join(ranks["a"], [*PAIR, "value_a"]).join(ranks["b"], [*PAIR, "value_b"])
-    return placed.groupBy(*PAIR).agg(
-        F.sum("n").alias("valid_rows"),
-        weighted_pearson(F.col("rank_a"), F.col("rank_b"), F.col("n")).alias("rank_r"),
-    ).withColumn("abs_rank_r", F.abs("rank_r"))
+        counts = joint.groupBy("pair", f"value_{side}").agg(F.sum("n").alias("n"))
+        ranked = average_ranks(counts, f"value_{side}", "n", ["pair"])
+        ranks[side] = ranked.selectExpr("pair", f"value_{side}", f"rank - (total_n + 1) / 2.0D as rank_{side}")
+    placed = joint.join(ranks["a"], ["pair", "value_a"]).join(ranks["b"], ["pair", "value_b"])
+    r = weighted_pearson(F.col("rank_a"), F.col("rank_b"), F.col("n"))
+    found = placed.groupBy("pair").agg(F.sum("n").alias("valid_rows"), r.alias("rank_r"))
+    names = [F.array(*[F.lit(p[i]) for p in pairs])[F.col("pair")].alias(PAIR[i]) for i in (0, 1)]
+    return found.select(*names, "valid_rows", "rank_r", F.abs("rank_r").alias("abs_rank_r"))
 
 
 def numeric_pairs(
@@ -335,8 +334,8 @@ def interaction(
         F.avg("relative").alias("mean_relative_difference"),
     )
     median = one_row(exact_quantiles(whole.where(F.col("gap").isNotNull()), "gap", {"median": 0.5}))
-    joint = pair_counts(paired, {"x": F.col("x"), "y": F.col("y")}, [("x", "y")])
-    rank = one_row(_rank_correlation(joint).agg(F.max("rank_r").alias("rank_r")))
+    ranked = _rank_correlation(paired, {"x": F.col("x"), "y": F.col("y")}, [("x", "y")])
+    rank = one_row(ranked.agg(F.max("rank_r").alias("rank_r")))
     out = moments.withColumns({"_m": median, "_r": rank})
     top = F.greatest(F.coalesce(F.abs("pearson"), F.lit(0.0)), F.coalesce(F.abs(F.col("_r.rank_r")), F.lit(0.0)))
     redundancy = F.coalesce(F.abs("pearson") >= redundant, F.lit(False))

@@ -67,27 +67,32 @@ def unpivot(
     return shaped.select(*keep, F.inline(F.array(*entries)))
 
 
-def pair_counts(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def pair_counts(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    pairs: Sequence[tuple[str, str]],
+    *,
+    numbered: bool = False,
+) -> DataFrame:
     """Contingency counts of every declared column pair in one shuffle.
 
     Returns (feature_a, feature_b, value_a, value_b, n) over rows where both
-    values are present.  Counts are combined map-side before the exchange.
+    values are present, or (pair, value_a, value_b, n) with the position of the
+    pair, a narrower key for plans that shuffle many distinct values.  Counts
+    are combined map-side before the exchange.
     """
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    shaped = df.select(*[columns[n].alias(f"__v_{names.index(n)}") for n in names])
-    entries = [
-        F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            F.col(f"__v_{names.index(a)}").alias("value_a"),
-            F.col(f"__v_{names.index(b)}").alias("value_b"),
-        )
-        for a, b in pairs
-    ]
+    at_name = {n: F.col(f"__v_{i}") for i, n in enumerate(names)}
+    shaped = df.select(*[columns[n].alias(f"__v_{i}") for i, n in enumerate(names)])
+    entries = []
+    for i, (a, b) in enumerate(pairs):
+        tag = [F.lit(i).alias("pair")] if numbered else [F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")]
+        entries.append(F.struct(*tag, at_name[a].alias("value_a"), at_name[b].alias("value_b")))
+    keys = ["pair"] if numbered else ["feature_a", "feature_b"]
     return (
         shaped.select(F.inline(F.array(*entries)))
         .where(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
-        .groupBy("feature_a", "feature_b", "value_a", "value_b")
+        .groupBy(*keys, "value_a", "value_b")
         .agg(F.count("*").alias("n"))
     )
 

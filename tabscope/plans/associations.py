@@ -157,9 +157,6 @@ def _(t: Tables):
     return rounded(relations.categorical_pairs(_geo(t), GEO_CATS))
 
 
-_ORDER_CATS = ["o_orderstatus", "o_orderpriority"]
-
-
 @query(
     "categorical_pairs_lineitem",
     f"with c as ({_cat_pairs_sql([('l_returnflag', 'l_linestatus'), ('l_returnflag', 'l_linenumber'), ('l_linestatus', 'l_linenumber')], 'lineitem')}) "

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
 from .common import table
 from .token_counts import token_counts
 
@@ -23,3 +25,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes decoded from them, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode_ids(ids, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -108,3 +108,25 @@ def grams(values: np.ndarray, length: int) -> np.ndarray:
 
 def bytes_array(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
+
+
+def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """UTF-8 bytes of the texts of a batch, null as empty."""
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
+
+
+def row_key(identity, text: bytes) -> bytes:
+    """A key of a row's id and text; equal rows share it."""
+    return xxhash.xxh3_128_digest(repr(identity).encode() + b"\0" + text)
+
+
+def source(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``df`` as (id, text) and the id's type; all other columns stay behind."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows, rows.schema["id"].dataType.simpleString()
+
+
+def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Consecutive runs of ``values``, ``counts[i]`` of them in list i."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
 from .common import table
+from .decontaminate import contamination
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,41 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(coalesce(" + _LOWER + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op4_decontamination"] = f"""
+with d as (select doc_id, {_WORDS.format("text")} as w from documents),
+i as (select item_id, {_WORDS.format("text")} as w from benchmark),
+lengths as (select distinct least(len(w), 10) as n from i where len(w) > 0),
+iw as (select distinct item_id, n, array_to_string(w[p : p + n - 1], ' ') as g
+       from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as p
+             from (select item_id, w, least(len(w), 10) as n from i where len(w) > 0))),
+dw as (select doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') as g
+       from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p
+             from d, lengths where len(w) >= n)),
+hits as (select distinct doc_id, n, p from dw where (n, g) in (select n, g from iw)),
+covered as (select doc_id, count(*) as n_hit
+            from (select distinct doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id),
+listed as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+           from (select distinct dw.doc_id, cast(iw.item_id as varchar) as item
+                 from dw join iw on dw.n = iw.n and dw.g = iw.g) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join listed using (doc_id)
+"""

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
-from .common import table
+from .common import fold, table
 from .decontaminate import contamination
+from .language import fit, identify
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,11 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
        coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (doc_id) left join listed using (doc_id)
 """
+
+
+@query
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows outside fold 0 of five."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, *fit(docs, fold("doc_id", 5) != 0))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")

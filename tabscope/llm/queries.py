@@ -13,6 +13,8 @@ from .common import fold, table
 from .decontaminate import contamination
 from .language import fit, identify
 from .token_counts import token_counts
+from .toxicity import fit as fit_toxicity
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,13 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, *fit(docs, fold("doc_id", 5) != 0))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows outside fold 0 of five."""
+    docs = table(spark, sf_dir, "documents")
+    net = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity(docs, net).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts
 from .common import fold, table
 from .decontaminate import contamination
+from .html_extract import main_text
 from .language import fit, identify
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
@@ -98,3 +99,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, net).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))

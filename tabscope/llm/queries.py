@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts
 from .common import fold, table
 from .decontaminate import contamination
+from .fingerprints import neighbour_fingerprints
 from .html_extract import main_text
 from .language import fit, identify
 from .token_counts import token_counts
@@ -105,3 +106,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document, of its edited text and their likeness."""
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))

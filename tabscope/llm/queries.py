@@ -14,6 +14,7 @@ from .decontaminate import contamination
 from .fingerprints import neighbour_fingerprints
 from .html_extract import main_text
 from .language import fit, identify
+from .pii import KINDS, pseudonymise
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
@@ -21,6 +22,9 @@ from .toxicity import toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Key of the pseudonyms unless the session sets ``spark.tabscope.pii.key``.
+PII_KEY = "only for tests and checks"
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
@@ -112,3 +116,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk fingerprints of every document, of its edited text and their likeness."""
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return (spark.conf.get("spark.tabscope.pii.key", None) or PII_KEY).encode()
+
+
+@query
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in its text, and how many of each kind."""
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+    counts = [F.coalesce(F.col("replaced")[k], F.lit(0)).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", "text", *counts)

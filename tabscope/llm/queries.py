@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
 from .common import fold, table
+from .ctw import code_lengths
 from .decontaminate import contamination
 from .fingerprints import neighbour_fingerprints
 from .html_extract import main_text
@@ -128,3 +129,9 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     counts = [F.coalesce(F.col("replaced")[k], F.lit(0)).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", *counts)
+
+
+@query
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the rows outside fold 2 of seven."""
+    return code_lengths(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)

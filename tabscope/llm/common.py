@@ -130,3 +130,18 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
     """Consecutive runs of ``values``, ``counts[i]`` of them in list i."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def fixed_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which values of a long column, modulo ``bits`` (a power of two), occur: one bool each.
+
+    Built on the executors; at most ``bits`` / 32,768 rows of 4 kB come to the driver."""
+    place = F.col(column).bitwiseAND(bits - 1).alias("place")
+    found = np.zeros(bits, bool)
+    parts = df.select(place).groupBy(F.bitmap_bucket_number("place").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    for r in parts.collect():
+        own = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
+        # bucket 1 holds places 1 to 32,768; place 0 alone is in bucket 0
+        at = (r.b - 1) * 32768 + 1 + own if r.b else own
+        found[at[at < bits]] = True
+    return found

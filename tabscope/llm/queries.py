@@ -14,6 +14,7 @@ from .ctw import code_lengths
 from .decontaminate import contamination
 from .fingerprints import neighbour_fingerprints
 from .html_extract import main_text
+from .jaccard import jaccard_components
 from .language import fit, identify
 from .pii import KINDS, pseudonymise
 from .token_counts import token_counts
@@ -135,3 +136,9 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from the rows outside fold 2 of seven."""
     return code_lengths(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 75 % common five-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"))

@@ -38,7 +38,7 @@ def test_counts_equal_the_library(odd):
 def test_ids_equal_the_library_and_round_trip(odd):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
     want = sorted((str(i), library.encode_ordinary(t or "")) for i, t in ODD)
-    ids = encode_texts(odd, RANKS, public_tokenizers.PATTERN, block_bytes=2000, buckets=7)
+    ids = encode_texts(odd, RANKS, public_tokenizers.PATTERN, step_bytes=2000, block_words=30, buckets=7)
     got = decode_ids(ids, RANKS).collect()
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in got) == sorted((str(i), (t or "").encode()) for i, t in ODD)

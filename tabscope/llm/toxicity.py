@@ -32,7 +32,8 @@ from .common import Memo, raw_texts, source, steps
 from .decontaminate import words_of
 
 WIDTHS = (1, 2, 3)
-PAD = max(WIDTHS) - 1
+#: Blanks after a text: a window that starts at the first of them holds blanks only.
+PAD = max(WIDTHS)
 
 
 @dataclass
@@ -90,6 +91,9 @@ def logits(net: Network, coded: Coded) -> np.ndarray:
         out = taps[0][coded.tokens[:n]]
         for j in range(1, width):
             out += taps[j][coded.tokens[j : n + j]]
+            # a window that would reach into the next text counts as blank
+            ends = np.append(coded.starts[1:], len(coded.tokens)) - j
+            out[ends[ends < n]] = 0
         pooled.append(np.maximum(np.maximum.reduceat(out, coded.starts, axis=0) + net.biases[k], 0))
     return np.hstack(pooled) @ net.weights + net.bias
 
@@ -102,7 +106,7 @@ def languages(net: Network, coded: Coded) -> np.ndarray:
 
 def train(
     raw: list[bytes], labels: np.ndarray, langs: list[str | None], calibrate: np.ndarray,
-    rows: int = 1 << 16, dimensions: int = 16, n_filters: int = 16, epochs: int = 6, batch: int = 32, rate: float = 0.08, seed: int = 7,
+    rows: int = 1 << 16, dimensions: int = 16, n_filters: int = 16, epochs: int = 6, least_steps: int = 600, batch: int = 32, rate: float = 0.08, seed: int = 7,
 ) -> Network:
     random = np.random.default_rng(seed)
     net = Network(
@@ -124,7 +128,7 @@ def train(
 
     share = labels[fitting].mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(fitting)))):
         random.shuffle(fitting)
         for at in range(0, len(fitting), batch):
             docs = fitting[at : at + batch]
@@ -135,7 +139,7 @@ def train(
             pooled, where = [], []
             for k in range(len(WIDTHS)):
                 r = _responses(net, x, k)
-                best = np.array([a + r[a : min(b, len(r))].argmax(0) for a, b in zip(coded.starts, ends)])
+                best = np.array([a + r[a : b - WIDTHS[k] + 1].argmax(0) for a, b in zip(coded.starts, ends)])
                 where.append(best)
                 pooled.append(np.take_along_axis(r, best, 0))
             h = np.hstack(pooled)

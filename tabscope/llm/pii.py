@@ -54,7 +54,7 @@ FIND = re.compile(
       |(?P<phone>(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])
                |(?<!\w)\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w))
       |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-      |(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))""",
+      |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<u>[ -])\d{4}(?P=u)\d{4}(?P=u)\d{1,7}|\d{4}(?P<v>[ -])\d{6}(?P=v)\d{4,5})(?![\w-]))""",
     re.X | re.ASCII,
 )
 MAY_HOLD = re.compile(r"[0-9@]")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate
 from ..operators.checks import checks_from
 from ..operators.model import prior_baseline
-from .catalog import SCORED, TWO_MODELS, Tables, query, r, rounded, scored_lines, two_models
+from .catalog import NUDGE, SCORED, TWO_MODELS, Tables, query, r, rounded, scored_lines, two_models
 
 _EPS = "2.220446049250313e-16"
 
@@ -157,7 +157,24 @@ def _(t: Tables):
     return rounded(prior_baseline(rows.where("l_orderkey % 5 <> 0"), rows.where("l_orderkey % 5 = 0")))
 
 
-@query("final_evaluation")
+def _fixed_sql(threshold: str) -> str:
+    rows = " union all ".join(f"select '{m}@{threshold}' as metric, {m} as value, 'fixed' as part from x" for m in ("precision", "recall", "f1", "f2"))
+    return f"(with x as (select threshold, {_RATES} from {_confusion('scored', threshold)}) {rows})"
+
+
+@query(
+    "final_evaluation",
+    f"""with {SCORED}, p as (select * from {_probability_sql('scored')}),
+        l as (unpivot (select average_precision, roc_auc, log_loss, brier_score from p) on average_precision, roc_auc, log_loss, brier_score into name metric value value),
+        e as (select quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from scored),
+        b as (select label, 1 + len(list_filter(q, lambda z: z < score)) as bin from scored, e),
+        k as (select count(distinct score) + 1 as points from scored)
+        select metric, value, 'probability' as part from l
+        union all select * from {_fixed_sql('0.5')} union all select * from {_fixed_sql('0.2577809673219062')}
+        union all select 'bin ' || bin, {r('avg(label)')}, 'calibration' from b group by bin
+        union all select 'pr points', points::double, 'curve' from k union all select 'roc points', points::double, 'curve' from k
+        union all select metric, {r("value - case metric when 'roc_auc' then 0.5 else 0.33 end", 4)}, 'delta' from l where metric in ('average_precision', 'roc_auc')""",
+)
 def _(t: Tables):
     gate = checks_from(
         t.lineitem.agg(F.count_if(F.col("l_returnflag").isNull()).alias("n")), [("labels_present", "test", "l_returnflag", F.col("n"))]
@@ -172,9 +189,9 @@ def _(t: Tables):
         done.calibration.select(F.concat(F.lit("bin "), "bin").alias("metric"), F.col("positive_share").alias("value"), F.lit("calibration").alias("part")),
         done.pr.agg(F.count("*").cast("double").alias("value")).select(F.lit("pr points").alias("metric"), "value", F.lit("curve").alias("part")),
         done.roc.agg(F.count("*").cast("double").alias("value")).select(F.lit("roc points").alias("metric"), "value", F.lit("curve").alias("part")),
-        done.deltas.select("metric", F.col("delta").alias("value"), F.lit("delta").alias("part")),
+        done.deltas.select("metric", F.expr(f"round(delta + {NUDGE}D, 4) + 0.0D").alias("value"), F.lit("delta").alias("part")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return rounded(out)

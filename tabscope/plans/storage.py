@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import prepare
 from ..sources import identity, inventory, store, tables
 from .catalog import Tables, query
+from .preparation import _RANKED, _split_checks_sql
 
 ORDERS_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
 
@@ -30,6 +31,27 @@ def _(t: Tables):
     return tables.read_table(t.spark, path, ORDERS_SCHEMA, "csv")
 
 
+_CELLS = {
+    "l_orderkey": "cast(l_orderkey as varchar)",
+    "l_linenumber": "cast(l_linenumber as varchar)",
+    "l_quantity": "cast(cast(l_quantity as decimal(38,2)) as varchar)",
+    "l_extendedprice": "cast(cast(l_extendedprice as decimal(38,2)) as varchar)",
+    "l_discount": "cast(cast(l_discount as decimal(38,2)) as varchar)",
+    "l_tax": "cast(cast(l_tax as decimal(38,2)) as varchar)",
+    "l_returnflag": "l_returnflag",
+    "l_linestatus": "l_linestatus",
+    "l_shipdate": "cast(l_shipdate as varchar)",
+}
+
+
+def _fingerprint_sql(cells: dict[str, str], source: str) -> str:
+    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in cells.values())
+    return f"select count(*) as rows, cast(sum(('0x' || substr(md5(concat({parts})), 1, 15))::bigint) as varchar) as digest from {source}"
+
+
+_ORDER_CELLS = {c: f"cast({c} as varchar)" for c in ("o_orderkey", "o_orderstatus", "cents")}
+
+
 def _cut(t: Tables):
     return prepare.stratified_split(
         t.orders.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No").alias("label")),
@@ -50,9 +72,16 @@ def _(t: Tables):
     return t.spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("rows"))
 
 
-@query("write_idempotent")
+@query(
+    "write_idempotent",
+    """with o as (select o_orderkey, o_orderstatus, cast(round(o_totalprice * 100) as bigint) as cents from orders),
+       a as (select 1::bigint as sequence, * from (_ALL_)), b as (select 2::bigint as sequence, * from (_SOME_))
+       select *, 'created' as status from a union all select *, 'reused_equivalent' from a union all select *, 'overwritten' from b"""
+    .replace("_ALL_", _fingerprint_sql(_ORDER_CELLS, "o")).replace("_SOME_", _fingerprint_sql(_ORDER_CELLS, "o where o_orderstatus <> 'P'")),
+)
 def _(t: Tables):
-    path, data = t.scratch(), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = t.scratch()
+    data = t.orders.select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
     out = [
         store.write_idempotent(data, path),
         store.write_idempotent(data.repartition(3), path),
@@ -61,27 +90,15 @@ def _(t: Tables):
     return out[0].unionByName(out[1]).unionByName(out[2]).select("sequence", "rows", "digest", "status")
 
 
-@query("file_inventory")
+@query(
+    "file_inventory",
+    "select * from (values ('absent.parquet', 'missing', null::boolean, null::boolean), ('orders.parquet', 'available', true, true)) v(path, status, has_bytes, has_hash)",
+)
 def _(t: Tables):
-    return inventory.file_inventory(t.spark, t.folder, ["orders.parquet", "absent.parquet"])
-
-
-_CELLS = {
-    "l_orderkey": "cast(l_orderkey as varchar)",
-    "l_linenumber": "cast(l_linenumber as varchar)",
-    "l_quantity": "cast(cast(l_quantity as decimal(38,2)) as varchar)",
-    "l_extendedprice": "cast(cast(l_extendedprice as decimal(38,2)) as varchar)",
-    "l_discount": "cast(cast(l_discount as decimal(38,2)) as varchar)",
-    "l_tax": "cast(cast(l_tax as decimal(38,2)) as varchar)",
-    "l_returnflag": "l_returnflag",
-    "l_linestatus": "l_linestatus",
-    "l_shipdate": "cast(l_shipdate as varchar)",
-}
-
-
-def _fingerprint_sql(cells: dict[str, str], source: str) -> str:
-    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in cells.values())
-    return f"select count(*) as rows, cast(sum(('0x' || substr(md5(concat({parts})), 1, 15))::bigint) as varchar) as digest from {source}"
+    found = inventory.file_inventory(t.spark, t.folder, ["orders.parquet", "absent.parquet"])
+    return found.where(F.col("path").isin("orders.parquet", "absent.parquet")).select(
+        "path", "status", (F.col("bytes") > 0).alias("has_bytes"), F.col("sha256").rlike("^[0-9a-f]{64}$").alias("has_hash")
+    )
 
 
 @query("content_fingerprint", _fingerprint_sql(_CELLS, "lineitem"))
@@ -108,7 +125,12 @@ def _(t: Tables):
     return identity.source_identity(t.documents, "documents", ["doc_id"], "lang")
 
 
-@query("verify_handoff")
+@query(
+    "verify_handoff",
+    _split_checks_sql("ranked", "cut", _RANKED)
+    + """ union all select c, 'handoff', '*', 0::bigint, true
+         from (select unnest(['stored_columns_present', 'stored_rows_match', 'stored_digest_matches']) as c)""",
+)
 def _(t: Tables):
     path, cut = t.scratch(), _cut(t)
     store.write_idempotent(cut, path, partition_by=["split"])

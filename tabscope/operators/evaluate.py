@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import f_beta, ratio, ratio_or_zero
-from .checks import assert_checks
+from .checks import assert_checks, checks_from
 from .effects import bin_of
 from .scale import at, by_name, exact_quantiles, ordered_totals
 
@@ -22,9 +22,31 @@ from .scale import at, by_name, exact_quantiles, ordered_totals
 EPSILON = 2.220446049250313e-16
 
 
+def _usable(label: str, score: str) -> Column:
+    """Label 0 or 1, score a number from 0 to 1."""
+    good = F.col(label).isin(0, 1) & ~F.isnan(F.col(score).cast("double")) & F.col(score).between(0, 1)
+    return F.coalesce(good, F.lit(False))
+
+
+def score_checks(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Check rows on a scored table; the metrics leave out the rows they count."""
+    number = F.col(score).cast("double")
+    bad = {
+        "score_not_null": number.isNull(), "score_not_nan": F.isnan(number),
+        "score_in_range": ~F.isnan(number) & ~number.between(0, 1), "label_not_null": F.col(label).isNull(), "label_zero_or_one": ~F.col(label).isin(0, 1),
+    }
+    summary = scored.agg(*[F.count_if(c).alias(n) for n, c in bad.items()])
+    return checks_from(summary, [(n, "scored", score if n.startswith("score") else label, F.col(n)) for n in bad])
+
+
+def excluded_rows(scored: DataFrame, groups: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
+    """(groups, rows, excluded): rows that no metric counts."""
+    return scored.groupBy(*groups).agg(F.count("*").alias("rows"), F.count_if(~_usable(label, score)).alias("excluded"))
+
+
 def score_counts(scored: DataFrame, groups: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
-    """(groups, score, n, pos), one row per distinct score."""
-    return scored.groupBy(*groups, F.col(score).alias("score")).agg(
+    """(groups, score, n, pos), one row per distinct score of usable rows."""
+    return scored.where(_usable(label, score)).groupBy(*groups, F.col(score).alias("score")).agg(
         F.count("*").alias("n"), F.sum(label).cast("bigint").alias("pos")
     )
 
@@ -103,7 +125,7 @@ def threshold_metrics(
         tn = F.col("n") - F.col("p") - fp
         named = confusion_metrics(tp, fp, fn, tn)
         entries.append(F.struct(F.lit(float(t)).alias("threshold"), *[v.alias(k) for k, v in named.items()]))
-    return scored.groupBy(*groups).agg(*parts).select(*groups, F.inline(F.array(*entries)))
+    return scored.where(_usable(label, score)).groupBy(*groups).agg(*parts).select(*groups, F.inline(F.array(*entries)))
 
 
 def threshold_sweep(
@@ -290,6 +312,7 @@ def evaluate_final(
         assert_checks(gate)
     scored.write.mode("errorifexists").parquet(path)
     kept = scored.sparkSession.read.schema(scored.schema).parquet(path)
+    assert_checks(score_checks(kept))
     probability = probability_metrics(kept)
     deltas = None
     if reference:

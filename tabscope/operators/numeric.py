@@ -181,13 +181,18 @@ def _with_fences(long: DataFrame, quart: DataFrame, k: float) -> DataFrame:
 
 def _outlier_counts(df: DataFrame, features: Sequence[str], rules: Mapping[str, BlankRule] | None, k: float) -> DataFrame:
     fenced = _with_fences(_long(df, features, rules), quartiles(df, features, rules), k)
-    return fenced.groupBy("feature").agg(
+    found = fenced.groupBy("feature").agg(
         F.count("*").alias("valid"),
         F.count_if(F.col("value") < F.col("lower_fence")).alias("lower_outliers"),
         F.count_if(F.col("value") > F.col("upper_fence")).alias("upper_outliers"),
         F.max("lower_fence").alias("lower_fence"),
         F.max("upper_fence").alias("upper_fence"),
     )
+    # features without a valid value keep a row
+    place = F.array(*[F.lit(f) for f in features])
+    declared = df.sparkSession.range(len(features)).select(place[F.col("id").cast("int")].alias("feature"))
+    counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("valid", "lower_outliers", "upper_outliers")}
+    return declared.join(found, "feature", "left").withColumns(counts)
 
 
 def iqr_outlier_summary(

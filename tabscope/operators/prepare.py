@@ -233,10 +233,9 @@ def stratified_split(
 def split_profile(df: DataFrame, split: str, label: str) -> DataFrame:
     """Rows, class counts and class share per split."""
     counts = df.groupBy(F.col(split).alias("split"), F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
-    totals = by_name(counts.groupBy("split").agg(F.sum("n").alias("rows")), "split", ["rows"])
-    return counts.withColumn("_t", at(totals, F.col("split"))).select(
-        "split", "class", "n", F.col("_t.rows").alias("rows"), ratio(F.col("n"), F.col("_t.rows")).alias("share")
-    )
+    # one row per split and class; a null split (undeclared label) is a split of its own
+    rows = F.sum("n").over(Window.partitionBy("split"))
+    return counts.withColumn("rows", rows).select("split", "class", "n", "rows", ratio(F.col("n"), F.col("rows")).alias("share"))
 
 
 def split_checks(
@@ -300,10 +299,14 @@ def stratified_folds(
 
     Positions come from bucket counts plus a rank inside a hash bucket, so the
     one shuffle of rows is by (class, bucket) and no class is sorted as a whole.
+    Rows with an undeclared or null label keep a null fold; :func:`fold_checks`
+    counts them.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    tagged = _hashed(df, key, label, seed).where(F.col("_c").isin([str(c) for c in classes]))
+    every = _hashed(df, key, label, seed)
+    declared = F.coalesce(F.col("_c").isin([str(c) for c in classes]), F.lit(False))
+    tagged = every.where(declared)
     hist = tagged.groupBy("_c", "_b").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = hist.select("_c", "_b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -315,13 +318,18 @@ def stratified_folds(
     ranked = tagged.withColumn("_r", F.row_number().over(inside) - 1).join(starts, ["_c", "_b"])
     ranked = ranked.withColumn("_o", at(by_name(offset, "_c", ["offset"]), F.col("_c")))
     fold = (F.col("_r") + F.col("before") + F.col("_o.offset")) % k
-    return ranked.select(*df.columns, fold.cast("int").alias("fold"))
+    left = every.where(~declared).select(*df.columns, F.lit(None).cast("int").alias("fold"))
+    return ranked.select(*df.columns, fold.cast("int").alias("fold")).unionAll(left)
+
+
+def fold_checks(folded: DataFrame) -> DataFrame:
+    """Check row on rows without a fold."""
+    summary = folded.agg(F.count_if(F.col("fold").isNull()).alias("without"))
+    return K.checks_from(summary, [("folds_assigned", "fold", "*", F.col("without"))])
 
 
 def fold_classes(folded: DataFrame, label: str) -> DataFrame:
     """Held-out and training rows per (fold, class)."""
     counts = folded.groupBy("fold", F.col(label).cast("string").alias("class")).agg(F.count("*").alias("validation_rows"))
-    totals = by_name(counts.groupBy("class").agg(F.sum("validation_rows").alias("n")), "class", ["n"])
-    return counts.withColumn("_t", at(totals, F.col("class"))).select(
-        "fold", "class", "validation_rows", (F.col("_t.n") - F.col("validation_rows")).alias("train_rows")
-    )
+    total = F.sum("validation_rows").over(Window.partitionBy("class"))
+    return counts.withColumn("train_rows", total - F.col("validation_rows")).select("fold", "class", "validation_rows", "train_rows")

@@ -99,8 +99,11 @@ def _rank_correlation(df: DataFrame, values: Mapping[str, Column], pairs: Sequen
     placed = joint.join(ranks["a"], ["pair", "value_a"]).join(ranks["b"], ["pair", "value_b"])
     r = weighted_pearson(F.col("rank_a"), F.col("rank_b"), F.col("n"))
     found = placed.groupBy("pair").agg(F.sum("n").alias("valid_rows"), r.alias("rank_r"))
+    # pairs without a complete row keep a row, with no correlation
+    declared = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
     names = [F.array(*[F.lit(p[i]) for p in pairs])[F.col("pair")].alias(PAIR[i]) for i in (0, 1)]
-    return found.select(*names, "valid_rows", "rank_r", F.abs("rank_r").alias("abs_rank_r"))
+    valid = F.coalesce("valid_rows", F.lit(0).cast("bigint")).alias("valid_rows")
+    return declared.join(found, "pair", "left").select(*names, valid, "rank_r", F.abs("rank_r").alias("abs_rank_r"))
 
 
 def numeric_pairs(

@@ -195,3 +195,36 @@ def _(t: Tables):
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(out)
+
+
+_SCORED_DIRTY = f"""{SCORED}, spoilt as (select case when l_orderkey % 11 = 0 then null when l_orderkey % 13 = 0 then 2 else label end as label,
+    case when l_orderkey % 7 = 0 then null when l_orderkey % 17 = 0 then score + 1.5 else score end as score from scored)"""
+
+
+def _spoilt(t: Tables):
+    return scored_lines(t).selectExpr(
+        "case when l_orderkey % 11 = 0 then null when l_orderkey % 13 = 0 then 2 else label end as label",
+        "case when l_orderkey % 7 = 0 then null when l_orderkey % 17 = 0 then score + 1.5 else score end as score",
+    )
+
+
+@query(
+    "score_checks",
+    f"""with {_SCORED_DIRTY}, c as (select count(*) filter (score is null) as a, count(*) filter (score < 0 or score > 1) as b, count(*) filter (label is null) as d,
+        count(*) filter (label not in (0, 1)) as e from spoilt),
+        u as (select unnest(['score_not_null', 'score_not_nan', 'score_in_range', 'label_not_null', 'label_zero_or_one']) as "check",
+          unnest(['score', 'score', 'score', 'label', 'label']) as item, unnest([a, 0, b, d, e]) as n from c)
+        select "check", 'scored' as scope, item, n::bigint as n_violations, n = 0 as passed from u""",
+)
+def _(t: Tables):
+    return evaluate.score_checks(_spoilt(t))
+
+
+@query(
+    "probability_metrics_spoilt",
+    f"""with {_SCORED_DIRTY}, good as (select * from spoilt where label in (0, 1) and score between 0 and 1)
+        select p.*, (select count(*) from spoilt) - p.n as excluded from {_probability_sql('good')} p""",
+)
+def _(t: Tables):
+    found = evaluate.probability_metrics(_spoilt(t)).crossJoin(F.broadcast(evaluate.excluded_rows(_spoilt(t)).select("excluded")))
+    return rounded(found)

@@ -189,3 +189,40 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return prepare.fold_classes(prepare.stratified_folds(_target_orders(t), ["o_orderkey"], "label", CLASSES, 5), "label")
+
+
+_PART_DECLARED = """open_orders as (select o_orderkey, case when o_orderkey % 9 = 0 then null when o_orderstatus = 'P' then 'Other' when o_orderstatus = 'F' then 'Yes' else 'No' end as label from orders),
+  h as (select *, md5('42|[' || o_orderkey || ']') as h from open_orders),
+  f as (select o_orderkey, label, ((row_number() over (order by label, h, o_orderkey) - 1) % 5)::integer as fold from h where label in ('Yes', 'No')
+    union all select o_orderkey, label, null from h where label is null or label not in ('Yes', 'No'))"""
+
+
+def _open_orders(t: Tables):
+    label = "case when o_orderkey % 9 = 0 then null when o_orderstatus = 'P' then 'Other' when o_orderstatus = 'F' then 'Yes' else 'No' end as label"
+    return t.orders.selectExpr("o_orderkey", label)
+
+
+@query("stratified_folds_undeclared", f"with {_PART_DECLARED} select o_orderkey, label, fold from f")
+def _(t: Tables):
+    return prepare.stratified_folds(_open_orders(t), ["o_orderkey"], "label", CLASSES, 5)
+
+
+@query(
+    "fold_checks",
+    f"""with {_PART_DECLARED}, c as (select count(*) filter (fold is null) as n from f)
+        select 'folds_assigned' as "check", 'fold' as scope, '*' as item, n as n_violations, n = 0 as passed from c""",
+)
+def _(t: Tables):
+    return prepare.fold_checks(prepare.stratified_folds(_open_orders(t), ["o_orderkey"], "label", CLASSES, 5))
+
+
+@query(
+    "split_profile_undeclared",
+    f"""with {_PART_DECLARED}, s as (select label, case when fold is null then null when fold < 4 then 'train' else 'test' end as split from f)
+        select split, label as class, count(*) as n, (sum(count(*)) over (partition by split))::bigint as rows,
+          {r('count(*) / sum(count(*)) over (partition by split)')} as share from s group by split, label""",
+)
+def _(t: Tables):
+    folded = prepare.stratified_folds(_open_orders(t), ["o_orderkey"], "label", CLASSES, 5)
+    cut = folded.selectExpr("label", "case when fold is null then null when fold < 4 then 'train' else 'test' end as split")
+    return rounded(prepare.split_profile(cut, "split", "label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,9 +28,15 @@ def local_session(cores: int | str = 8, app: str = "tabscope") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir``; a scratch folder only in local mode.
+
+    Executors on other machines would not see a folder of the driver's machine, so an
+    unset folder is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

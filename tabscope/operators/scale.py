@@ -104,10 +104,12 @@ def pair_counts(
 def leaf_sql(value: str) -> tuple[str, str]:
     """SQL for (octave, slot) of a finite or infinite number; monotone in the value.
 
-    Written as text: a plan needs it several times, and one parsed expression is
+    Slots are as fine as the number is small, so values are placed by their distance
+    from the group's least value (``_low``, see :func:`_anchored`): timestamps, large ids
+    and scores close to each other spread over many leaves.  Written as text: a plan needs it several times, and one parsed expression is
     much cheaper to build from Python than a tree of column calls.
     """
-    x = f"cast({value} as double)"
+    x = f"(cast({value} as double) - _low)"
     octave = f"least(greatest(floor(log2(abs({x}))), -1000), 1024)"
     # coalesce makes both non-nullable: no null filter is then inferred for the joins
     # on them, so all branches keep the same input and share its exchange.
@@ -116,9 +118,19 @@ def leaf_sql(value: str) -> tuple[str, str]:
     return top, slot
 
 
-def _with_leaf(df: DataFrame, value: str) -> DataFrame:
+def _anchored(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """Add ``_low``, the least finite value of the group (0 if there is none)."""
+    v = f"cast(`{value}` as double)"
+    low = F.expr(f"coalesce(min(case when abs({v}) < double('infinity') then {v} end), 0.0D)").alias("_low")
+    if not groups:
+        return df.withColumn("_low", df.agg(low).scalar())
+    # One row per declared group.
+    return df.join(F.broadcast(df.groupBy(*groups).agg(low)), list(groups))
+
+
+def _with_leaf(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     octave, slot = leaf_sql(f"`{value}`")
-    return df.withColumns({"_octave": F.expr(octave), "_slot": F.expr(slot)})
+    return _anchored(df, value, groups).withColumns({"_octave": F.expr(octave), "_slot": F.expr(slot)}).drop("_low")
 
 
 def _leaf_offsets(
@@ -172,7 +184,7 @@ def ordered_totals(
     Group keys must not be null.
     """
     g, way = "".join(f"`{c}`, " for c in groups), "desc" if descending else "asc"
-    keyed = _with_leaf(df, order)
+    keyed = _with_leaf(df, order, groups)
     leaves = keyed.groupBy(*groups, "_octave", "_slot").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = _leaf_offsets(leaves, groups, measures, descending).drop("_leaves", *[f"_leaf_{m}" for m in measures])
     local = f"over (partition by {g}_octave, _slot order by `{order}` {way} rows between unbounded preceding and current row)"
@@ -211,7 +223,7 @@ def _located_values(
     """
     g = "".join(f"`{c}`, " for c in groups)
     octave, slot = leaf_sql(f"`{value}`")
-    keyed = df.where(f"`{value}` is not null").selectExpr(
+    keyed = _anchored(df.where(f"`{value}` is not null"), value, groups).selectExpr(
         *[f"`{c}`" for c in groups],
         f"`{value}` as _v",
         f"cast({weight or 1} as bigint) as n",

@@ -96,6 +96,21 @@ def _(t: Tables):
     return rounded(numeric.iqr_outlier_summary(t.orders, ["o_totalprice", "o_custkey"]), 4, outlier_share=6)
 
 
+@query(
+    "iqr_outlier_summary_large_offset",
+    "with f as (" + " union all ".join(
+        [_fences("far_key", "(o_orderkey + 1000000000000)::double", "orders")]
+    ) + f""") select feature, {r('max(lo)', 4)} as lower_fence, {r('max(hi)', 4)} as upper_fence,
+        count(*) filter (value < lo) as lower_outliers, count(*) filter (value > hi) as upper_outliers,
+        count(*) filter (value < lo or value > hi) as outliers, {r('count(*) filter (value < lo or value > hi) / count(*)')} as outlier_share,
+        case when count(*) filter (value < lo or value > hi) > 0 then 'Candidate outliers require contextual review'
+          else 'No IQR outlier candidates' end as interpretation from f group by feature""",
+)
+def _(t: Tables):
+    far = t.orders.selectExpr("o_orderkey + 1000000000000L as far_key")
+    return rounded(numeric.iqr_outlier_summary(far, ["far_key"]), 4, outlier_share=6)
+
+
 _DOC_FENCES = """f as (select doc_id, n_chars::double as value, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from documents,
     (select quantile_cont(n_chars::double, 0.25) as q1, quantile_cont(n_chars::double, 0.75) as q3 from documents))"""
 

@@ -151,3 +151,13 @@ def test_target_roles(spark):
         ("Missing expected classes", "e", 0),
         ("Unexpected classes", "d", 1),
     }
+
+
+def test_close_values_far_from_zero_spread_over_leaves(spark):
+    from tabscope.operators.scale import _with_leaf, exact_quantiles
+
+    df = spark.range(50_000).selectExpr("'f' as feature", "id * 7 + 1700000000000000 as value")
+    leaves = _with_leaf(df, "value", ["feature"]).groupBy("_octave", "_slot").count()
+    assert leaves.agg({"count": "max"}).first()[0] <= 4
+    found = exact_quantiles(df, "value", {"q1": 0.25, "q3": 0.75}, ["feature"]).first()
+    assert (found.q1, found.q3) == (12499.75 * 7 + 1.7e15, 37499.25 * 7 + 1.7e15)

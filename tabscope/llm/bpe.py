@@ -1,7 +1,8 @@
 """Byte-level BPE: every distinct pre-token is encoded once, wherever it occurs.
 
-Encoding. Documents are cut into blocks of about ``block_bytes``. A block lists its distinct
-pre-tokens and, as a sequence of numbers into that list, their positions. Lists are dealt out
+Encoding. Each task reads its documents in blocks that end once they have ``block_words``
+distinct pre-tokens. A block lists these and, as numbers by falling frequency, the pre-token at
+every position. Lists are dealt out
 by word (``buckets`` classes of a hash), so all blocks' copies of a word meet in one task,
 which merges its bytes once; the ids return to their block and are put back by position. As a
 word travels once per block, frequent words are no hot keys.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, Memo, steps, texts
+from .common import MEMO_ENTRIES, STEP_BYTES, Memo, lists, steps, texts
 
 SAFE = re.compile(r"\S(?=[ \n\r\t])")
 #: Rank no pair of a piece can have.
@@ -94,7 +95,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _packed(lengths: np.ndarray, data: bytes) -> bytes:
     head = lengths.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(lengths).to_bytes(8, "little") + zstandard.compress(head + data, 1)
+    return len(lengths).to_bytes(8, "little") + zstandard.compress(head + data, 3)
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, bytes]:
@@ -104,9 +105,62 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, bytes]:
     return head, raw[4 * n :]
 
 
+class _Block:
+    """Distinct pre-tokens of some documents and their sequence."""
+
+    def __init__(self, classes: int) -> None:
+        self.classes = classes
+        self.codes: dict[str, int] = {}
+        self.docs: list[pa.Array] = []
+        self.counts: list[int] = []
+        self.steps: list[np.ndarray] = []
+        self.digest = xxhash.xxh3_128()
+
+    def number(self, words: list[str]) -> np.ndarray:
+        codes = self.codes
+        return np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint32, len(words))
+
+    def add(self, docs: pa.Array, counts: list[int], sequence: np.ndarray) -> None:
+        self.docs.append(docs)
+        self.counts += counts
+        self.steps.append(sequence)
+
+    def rows(self, name: str) -> pa.RecordBatch:
+        """A header row and a row per bucket, with its words by rank."""
+        block = f"{name}-{self.digest.hexdigest()}"
+        words = [w.encode() for w in self.codes]
+        n = sum(np.bincount(s, minlength=len(words)) for s in self.steps)
+        by_rank = np.argsort(-n, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) % self.classes for i in by_rank), np.uint32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        payloads = []
+        for a, b in zip(first, [*first[1:], len(words)]):
+            own = [words[i] for i in by_rank[order[a:b]]]
+            payloads.append(_packed(np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))
+        docs = pa.concat_arrays(self.docs)
+        nothing = [None] * len(used)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block] * (len(used) + 1), pa.string()),
+                pa.array([-1, *used.tolist()], pa.int32()),
+                pa.array([f"b{block}", *map(str, used.tolist())], pa.string()),
+                pa.array([len(used), *nothing], pa.int32()),
+                pa.array([docs.to_pylist(), *nothing], pa.list_(docs.type)),
+                pa.array([self.counts, *nothing], pa.list_(pa.int64())),
+                pa.array([list(map(len, self.docs)), *nothing], pa.list_(pa.int32())),
+                pa.array([[_packed(rank[s], b"") for s in self.steps], *nothing], pa.list_(pa.binary())),
+                pa.array([_packed(bucket, b""), *payloads], pa.binary()),
+            ],
+            ["block", "bucket", "dealt", "used", "docs", "counts", "rows", "steps", "payload"],
+        )
+
+
 def encode_texts(
     df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = 4 << 20, buckets: int | None = None,
+    step_bytes: int = STEP_BYTES, block_words: int = 300_000, buckets: int | None = None,
 ) -> DataFrame:
     """Per row: the id column and ``ids`` (array<int>)."""
     spark = df.sparkSession
@@ -120,45 +174,24 @@ def encode_texts(
 
         find = regex.compile(pattern).findall
         part, number = TaskContext.get().partitionId(), 0
-        for step in steps(batches, "text", block_bytes):
-            number += 1
-            codes_of: dict[str, int] = {}
-            codes, counts, digest = [], [], xxhash.xxh3_128()
+        block = _Block(classes)
+        for step in steps(batches, "text", step_bytes):
+            for_step, counts = [], []
             for text in texts(step, "text"):
                 n = 0
-                digest.update(text.encode())
                 for cut in slices(text):
                     words = find(cut)
                     n += len(words)
-                    codes.append(np.fromiter((codes_of.setdefault(w, len(codes_of)) for w in words), np.uint32, len(words)))
+                    for_step.append(block.number(words))
                 counts.append(n)
-            block = f"{part}-{number}-{digest.hexdigest()}"
-            words = [w.encode() for w in codes_of]
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % classes for w in words), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
-            used, first = np.unique(bucket[order], return_index=True)
-            rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
-            flat = rank[np.concatenate(codes)] if len(words) else np.empty(0, np.uint32)
-            header = _packed(flat, b"")
-            payloads, ends = [], [*first[1:], len(words)] if len(words) else []
-            for a, b in zip(first, ends):
-                own = [words[i] for i in order[a:b]]
-                payloads.append(_packed(np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))
-            rows = len(used) + 1
-            nothing = [None] * len(used)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * rows, pa.string()),
-                    pa.array([-1, *used.tolist()], pa.int32()),
-                    pa.array([f"b{block}", *map(str, used.tolist())], pa.string()),
-                    pa.array([len(used), *nothing], pa.int32()),
-                    pa.array([step.column(0).to_pylist(), *nothing], pa.list_(step.column(0).type)),
-                    pa.array([counts, *nothing], pa.list_(pa.int64())),
-                    pa.array([header, *payloads], pa.binary()),
-                ],
-                ["block", "bucket", "dealt", "used", "docs", "counts", "payload"],
-            )
+                block.digest.update(text.encode())
+            block.add(step.column(0), counts, np.concatenate(for_step))
+            if len(block.codes) > block_words:
+                number += 1
+                yield block.rows(f"{part}-{number}")
+                block = _Block(classes)
+        if block.counts:
+            yield block.rows(f"{part}-{number + 1}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
@@ -180,23 +213,29 @@ def encode_texts(
         header = group.slice(0, 1).to_pylist()[0]
         if header["bucket"] != -1 or header["used"] != group.num_rows - 1:
             raise ValueError("a block came together incomplete; its input gave other rows on a retry")
-        codes, _ = _unpacked(header["payload"])
         lengths, ids = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
         for payload in group.column("payload")[1:].to_pylist():
             n, data = _unpacked(payload)
             lengths.append(n)
             ids.append(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1))
-        width, flat = np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
-        start = np.cumsum(width) - width
-        n = width[codes]
-        ends = np.cumsum(n)
-        picked = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - ends + n, n)]
-        words_before = np.concatenate([[0], np.cumsum(header["counts"], dtype=np.int64)])
-        offsets = np.concatenate([[0], ends])[words_before].astype(np.int32)
+        listed, flat = np.concatenate(lengths).astype(np.int64), np.concatenate(ids).astype(np.int32)
+        # lists stand in the order of buckets, words in each by rank
+        order = np.argsort(_unpacked(header["payload"])[0], kind="stable")
+        width, start = np.empty_like(listed), np.empty_like(listed)
+        width[order], start[order] = listed, np.cumsum(listed) - listed
+        picked, sizes, at = [np.empty(0, np.int32)], [], 0
+        for n_docs, payload in zip(header["rows"], header["steps"]):
+            codes, _ = _unpacked(payload)
+            n = width[codes]
+            ends = np.cumsum(n)
+            picked.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - ends + n, n)])
+            words_before = np.concatenate([[0], np.cumsum(header["counts"][at : at + n_docs], dtype=np.int64)])
+            sizes.append(np.diff(np.concatenate([[0], ends])[words_before]))
+            at += n_docs
         docs = pa.array(header["docs"], group.schema.field("docs").type.value_type)
-        return pa.table({"id": docs, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(picked.astype(np.int32)))})
+        return pa.table({"id": docs, "ids": lists(np.concatenate(picked), np.concatenate(sizes), pa.int32())})
 
-    schema = f"block string, bucket int, dealt string, used int, docs array<{kind}>, counts array<long>, payload binary"
+    schema = f"block string, bucket int, dealt string, used int, docs array<{kind}>, counts array<long>, rows array<int>, steps array<binary>, payload binary"
     dealt = source.mapInArrow(split, schema).repartition(partitions, "dealt")
     encoded = dealt.mapInArrow(encode, schema)
     whole = encoded.groupBy("block").applyInArrow(assemble, f"id {kind}, ids array<int>")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,13 +62,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     parts = [piece[i : i + 1] for i in range(len(piece))]
     if len(piece) <= 48:
-        while len(parts) > 1:
-            pairs = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
-            low = min(pairs)
-            if low == NONE:
-                break
+        get = ranks.get
+        pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+        while pairs and (low := min(pairs)) != NONE:
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NONE)
         return [ranks[p] for p in parts]
     # the same order for long pieces, by a heap over linked parts
     after = list(range(1, len(parts) + 1))
@@ -110,15 +114,15 @@ class _Block:
 
     def __init__(self, classes: int) -> None:
         self.classes = classes
-        self.codes: dict[str, int] = {}
+        self.codes: defaultdict[str, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
         self.docs: list[pa.Array] = []
         self.counts: list[int] = []
         self.steps: list[np.ndarray] = []
         self.digest = xxhash.xxh3_128()
 
     def number(self, words: list[str]) -> np.ndarray:
-        codes = self.codes
-        return np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint32, len(words))
+        return np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words))
 
     def add(self, docs: pa.Array, counts: list[int], sequence: np.ndarray) -> None:
         self.docs.append(docs)
@@ -247,15 +251,21 @@ def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
+        size = np.full(max(ranks.values()) + 1, -1, np.int64)
         for token, rank in ranks.items():
-            table[rank] = token
+            size[rank] = len(token)
+        start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        table = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
             out: list[bytes] = []
             for row in batch.column(at):
-                ids = row.values.to_pylist() if row.is_valid else []
-                out.append(b"".join(map(table.__getitem__, ids)))
+                ids = row.values.to_numpy() if row.is_valid else np.empty(0, np.int32)
+                n = size[ids]
+                if (n < 0).any():
+                    raise ValueError("an id is not in the token table")
+                ends = np.cumsum(n)
+                out.append(table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - ends + n, n)].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
     rows = df.drop(out_col)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, hashed, raw_texts, scrambled, source, steps, stored, word_hashes
 
-DEPTH = 6
+DEPTH = 5
 START = b"\n" * DEPTH
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 LN_HALF = np.log(0.5)
@@ -208,7 +208,7 @@ class _Block:
             other = np.unique(all_keys[rest])
             self.lists[kind].append(added(np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), n.dtype)])))
         self.distinct += len(self.lists[GRAM][-1][0])
-        if len(self.lists[GRAM]) == 6:
+        if len(self.lists[GRAM]) == 12:
             self.merge()
 
     def merge(self) -> None:
@@ -258,7 +258,7 @@ def _summed(group: pa.Table) -> pa.Table:
 
 def code_lengths(
     df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None,
-    block_runs: int = 2_500_000, block_bytes: int = 32 << 20, step_bytes: int = 2 << 20,
+    block_runs: int = 2_500_000, block_bytes: int = 32 << 20, step_bytes: int = 512 << 10,
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score`` (log10 probability) and ``bits_per_byte``; ``training`` selects rows to learn from."""

@@ -244,9 +244,13 @@ def calibration_curve(
         placed = scored.withColumn("bin", index)
     elif strategy == "quantile":
         names = {f"e{i}": i / bins for i in range(bins + 1)}
-        tagged = scored.withColumn("_g", F.to_json(F.struct(*groups)) if groups else F.lit(""))
-        edges = exact_quantiles(tagged, score, names, ["_g"]).select("_g", F.array(*names).alias("edges"))
-        lookup = at(by_name(edges, "_g", ["edges"]), F.col("_g"))
+        if groups:
+            tagged = scored.withColumn("_g", F.to_json(F.struct(*groups)))
+            edges = exact_quantiles(tagged, score, names, ["_g"]).select("_g", F.array(*names).alias("edges"))
+            lookup = at(by_name(edges, "_g", ["edges"]), F.col("_g"))
+        else:
+            tagged = scored
+            lookup = exact_quantiles(scored, score, names).select(F.struct(F.array(*names).alias("edges")).alias("e")).scalar()
         placed = tagged.withColumn("_e", lookup).withColumn("bin", bin_of(f"`{score}`", "_e.edges", bins))
     else:
         raise ValueError("strategy must be 'uniform' or 'quantile'")

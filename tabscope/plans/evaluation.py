@@ -226,5 +226,5 @@ def _(t: Tables):
         select p.*, (select count(*) from spoilt) - p.n as excluded from {_probability_sql('good')} p""",
 )
 def _(t: Tables):
-    found = evaluate.probability_metrics(_spoilt(t)).crossJoin(F.broadcast(evaluate.excluded_rows(_spoilt(t)).select("excluded")))
-    return rounded(found)
+    excluded = evaluate.excluded_rows(_spoilt(t)).select("excluded").scalar()
+    return rounded(evaluate.probability_metrics(_spoilt(t)).withColumn("excluded", excluded))

@@ -84,9 +84,11 @@ def test_leaf_is_monotone(spark):
     rng = np.random.default_rng(5)
     values = np.unique(np.concatenate([2.0 ** np.arange(-1070, 1023, 7), rng.normal(0, 1, 500), -(2.0 ** np.arange(-1070, 1023, 9)), [0.0]]))
     octave, slot = scale.leaf_sql("v")
-    rows = spark.createDataFrame(pd.DataFrame({"v": values})).selectExpr("v", f"{octave} o", f"{slot} s").orderBy("v").collect()
-    keys = [(r.o, r.s) for r in rows]
-    assert keys == sorted(keys)
+    for low in (0.0, float(values.min()), -3.5):
+        df = spark.createDataFrame(pd.DataFrame({"v": values, "_low": low}))
+        rows = df.selectExpr("v", f"{octave} o", f"{slot} s").orderBy("v").collect()
+        keys = [(r.o, r.s) for r in rows]
+        assert keys == sorted(keys)
 
 
 def test_average_ranks_match_pandas(spark):

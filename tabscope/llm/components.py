@@ -13,19 +13,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points neighbours at the smallest node around (first the larger ones, then the
     smaller ones); rows stay at most as many as edges, and no neighbourhood is ever gathered."""
+    def digest(rows: DataFrame):
+        return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    before = digest(now)
+    while before.n:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(joined.select("a", F.col("m").alias("b")))
-        new = stored(small.where("a <> b").distinct())
-        counts = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        before = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        now = new
-        if counts == before:
+        now = stored(small.where("a <> b").distinct())
+        after = digest(now)
+        if after == before:
             break
+        before = after
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -4,8 +4,8 @@ Jaccard distance is a metric, and documents within ``1 - threshold`` of each oth
 Equal sets are one class; only classes are joined.
 
 *Regions.* Nearly all documents are at distance 1 from any given pivot, where distances say
-nothing, so first pivots are elected where documents meet. Each set is ordered by a fixed-size
-sketch of shingle frequencies, rare ones first; two linked sets must share a shingle within
+nothing, so first pivots are elected where documents meet. Each set is ordered by fixed-size
+sketches of shingle and word frequencies, rare ones first; two linked sets must share a shingle within
 their first ``n - ceil(threshold n) + 1`` ones. The classes that share such a shingle elect the
 one with the smallest key as pivot and enter its region: every link is between a pivot and a
 member, or inside a region.
@@ -13,12 +13,13 @@ member, or inside a region.
 *Recursion.* Members' distances to the pivot are measured. If all are linked to it the region is
 done, as they are one component. Else by the triangle inequality linked members closer to the
 pivot than the nearest unlinked one by more than the link distance have no partner to find and
-leave; the others are joined on. A region that fits a task is finished there, pivot after pivot.
-A larger one draws about the square root of its size as pivots; each member goes to the Voronoi
-region of its nearest pivot (distance under ``1 - d``, ``d`` the link distance) and is replicated
-to all pivots at most ``2 d`` further away; members at ``1 - 2 d`` or more from all pivots are a
-region of their own. Two linked documents always meet: see ``split``. Pivots have been compared
-with everything in their region and leave it.
+leave; the others are joined on, for links between different components. A region that fits a
+task is finished there, pivot after pivot. A larger one draws about the square root of its size
+as pivots, from outside its largest component; each member goes to the Voronoi region of its
+nearest pivot (distance under ``1 - d``, ``d`` the link distance) and is replicated to all
+pivots at most ``2 d`` further away; members at ``1 - 2 d`` or more from all pivots are a region
+of their own. Two linked documents always meet: see ``split``. Pivots have been compared with
+everything in their region and leave it, and a region that has become one component is done.
 
 Results are links between classes (a star or path per component, not all pairs) and, by
 connected components, a component for each document.
@@ -43,28 +44,53 @@ from pyspark.sql import functions as F
 from .common import SPACED, fixed_bitmap, grams, hashed, raw_texts, row_key, source, steps, stored, word_hashes
 from .components import components
 
-#: Counters of the frequency sketch and bits of the bitmap of texts to fetch.
-SKETCH = 1 << 20
+#: Counters of the frequency sketch, of shingles and of words, and bits of the bitmap of texts to fetch.
+SKETCH, WORD_SKETCH = 1 << 22, 1 << 20
+SLOTS = 320
 FETCH_BITS = 1 << 23
-#: Members and shingles of a region that one task finishes, and of a part that it measures.
-FITS, FITS_SHINGLES = 128, 1_000_000
+#: Members and shingles of a region that one task finishes.
+FITS, FITS_SHINGLES = 2000, 2_000_000
+#: Members and shingles of a part that is measured against a region's pivots.
+PART, PART_SHINGLES = 128, 1_000_000
 ROOM = 1e-9
 
 
+def words_of(raw: list[bytes], memo) -> list[np.ndarray]:
+    return [hashed(t.translate(SPACED).split(), memo) for t in raw]
+
+
 def sets(raw: list[bytes], gram: int, memo) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words = [hashed(t.translate(SPACED).split(), memo) for t in raw]
+    return [np.unique(x) for x in shingles(words_of(raw, memo), gram)]
+
+
+def shingles(words: list[np.ndarray], gram: int) -> list[np.ndarray]:
+    """Shingle hashes of each text in order."""
     sizes = np.array(list(map(len, words)))
     joined = grams(np.concatenate(words), gram)
     out = []
     for first, n, own in zip(np.cumsum(sizes) - sizes, sizes, words):
         if n >= gram:
-            out.append(np.unique(joined[first : first + n - gram + 1]))
+            out.append(joined[first : first + n - gram + 1])
         else:
             out.append(grams(own, n) + np.uint64(n) if n else own)
     return out
 
 
+def ordered(own: np.ndarray, words: np.ndarray, gram: int, sketch: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """A text's distinct shingles, rare ones first.
+
+    The order is one for all texts: by the power of two of a shingle's counter (passages that
+    many texts share stand out in it), then by how frequent its words are (few common words in
+    a row may meet anywhere), then by hash."""
+    found, first = np.unique(own, return_index=True)
+    total = np.concatenate([[0], np.cumsum(rarity[(words & np.uint64(WORD_SKETCH - 1)).astype(np.int64)], dtype=np.int64)])
+    width = min(gram, len(words))
+    common = (total[width:] - total[:-width])[first].astype(np.uint64)
+    power = np.log2(np.maximum(sketch[(found & np.uint64(SKETCH - 1)).astype(np.int64)], 1)).astype(np.uint64)
+    return found[np.argsort(power << np.uint64(32) | common, kind="stable")]
+
+
 def class_key(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
@@ -82,13 +108,15 @@ def _profile(docs: DataFrame, kind: str, gram: int) -> DataFrame:
     """Per row: id, n, class, row key; and, as rows of slots, the counters of a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counters, id_type = word_hashes(), np.zeros(SKETCH, np.uint32), None
+        memo, counters, id_type = word_hashes(), np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
         names = ["id", "n", "class", "check", "row", "slot", "counters"]
         for step in steps(batches, "text"):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             id_type = step.column(0).type
-            found = sets(raw, gram, memo)
-            counters += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            words = words_of(raw, memo)
+            found = [np.unique(x) for x in shingles(words, gram)]
+            for part, x, size in ((counters[:SKETCH], found, SKETCH), (counters[SKETCH:], words, WORD_SKETCH)):
+                part += np.bincount((np.concatenate(x) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
             n = len(raw)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,17 +128,17 @@ def _profile(docs: DataFrame, kind: str, gram: int) -> DataFrame:
                 names,
             )
         if id_type is not None:
-            parts = counters.reshape(256, -1)
-            none = pa.nulls(256, pa.int64())
+            parts = counters.reshape(SLOTS, -1)
+            none = pa.nulls(SLOTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(256, id_type), none, none, none, none, pa.array(range(256), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names
+                [pa.nulls(SLOTS, id_type), none, none, none, none, pa.array(range(SLOTS), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], names
             )
 
     return docs.mapInArrow(scan, f"id {kind}, n long, class long, check long, row long, slot int, counters binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
-    """Sum of the tasks' counters: SKETCH numbers, whatever the input."""
+    """Sum of the tasks' counters: SKETCH + WORD_SKETCH numbers, whatever the input."""
 
     def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zstandard.decompress(c), np.uint32).astype(np.uint64) for c in group.column("counters").to_pylist())
@@ -119,7 +147,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     rows = profile.where("slot is not null").select("slot", (F.rand(1) * 64).cast("int").cast("long").alias("part"), "counters")
     # tasks' counters are added in 64 parts first
     once = rows.groupBy("slot", "part").applyInArrow(added, "slot int, part long, counters binary")
-    out = np.zeros((256, SKETCH // 256), np.uint32)
+    out = np.zeros((SLOTS, (SKETCH + WORD_SKETCH) // SLOTS), np.uint32)
     for r in once.groupBy("slot").applyInArrow(added, "slot int, part long, counters binary").collect():
         out[r.slot] = np.frombuffer(zstandard.decompress(bytes(r.counters)), np.uint32)
     return out.ravel()
@@ -130,22 +158,25 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = word_hashes(), set()
+        memo, seen, counters = word_hashes(), set(), shared.value
+        rarity = (8 * np.log2(np.maximum(counters[SKETCH:], 1))).astype(np.int64)
         for step in steps(batches, "text"):
-            shingles, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for found in sets(raw_texts(step, "text"), gram, memo):
-                if not len(found) or (key := class_key(found)) in seen:
+            found, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            words = words_of(raw_texts(step, "text"), memo)
+            for own, text in zip(shingles(words, gram), words):
+                if not len(own) or (key := class_key(np.unique(own))) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                rank = shared.value[(found & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | found >> np.uint64(32)
-                first = found[np.argsort(rank, kind="stable")[: prefix_size(len(found), percent)]]
-                shingles.append(first)
+                in_order = ordered(own, text, gram, counters, rarity)
+                first = in_order[: prefix_size(len(in_order), percent)]
+                found.append(first)
                 classes.append(np.full(len(first), key))
-            yield pa.RecordBatch.from_arrays([_long(np.concatenate(shingles)), _long(np.concatenate(classes))], ["shingle", "class"])
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate(found)), _long(np.concatenate(classes))], ["shingle", "class"])
 
-    return docs.mapInArrow(scan, "shingle long, class long")
+    # filters that joins would infer stand here, so that all branches share one exchange
+    return docs.mapInArrow(scan, "shingle long, class long").where("shingle is not null and class is not null")
 
 
 def _fetch(docs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
@@ -176,75 +207,126 @@ def _linked(common: np.ndarray, n: np.ndarray, m, percent: int) -> np.ndarray:
     return 100 * common >= percent * (n + m - common)
 
 
-def _unpacked(group: pa.Table, gram: int) -> list[np.ndarray]:
-    return sets([zstandard.decompress(x) for x in group.column("packed").to_pylist()], gram, word_hashes())
-
-
-def _finish(found: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that hold a region's components together, pivot after pivot, by windows."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], gram: int) -> Iterator[tuple[list[dict], list[np.ndarray], bool]]:
+    """Consecutive rows with equal ``keys`` and their sets; the flag marks the last group that
+    a step completes. Sets of a step are built together, whatever the groups' sizes."""
+    memo, rows, found, at = word_hashes(), [], [], None
+    for step in steps(batches, "packed", 1 << 20):
+        names = [n for n in step.schema.names if n != "packed"]
+        done = []
+        packed = step.column(step.schema.get_field_index("packed")).to_pylist()
+        for row, own in zip(step.select(names).to_pylist(), sets([zstandard.decompress(x) for x in packed], gram, memo)):
+            key = [row[k] for k in keys]
+            if key != at and rows:
+                done.append((rows, found))
+                rows, found = [], []
+            at = key
+            rows.append(row)
+            found.append(own)
+        for i, group in enumerate(done):
+            yield *group, i + 1 == len(done)
+    if rows:
+        yield rows, found, True
+
+
+def _finish(found: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a region, pivot after pivot, within windows.
+
+    A pivot comes from outside the largest component left, is compared with all of other
+    components that the triangle inequality leaves, and is done."""
     limit = 1 - percent / 100
     n = np.array(list(map(len, found)))
-    left, links = np.arange(len(found)), []
-    while len(left) > 1:
-        pivot, left = left[0], left[1:]
-        joined = np.concatenate([found[i] for i in left])
-        starts = np.cumsum(n[left]) - n[left]
-        common = np.add.reduceat(np.isin(joined, found[pivot]).astype(np.int64), starts)
-        near = _linked(common, n[left], n[pivot], percent)
-        links += [(pivot, i) for i in left[near]]
-        if near.all():
-            break
-        distance = 1 - common / (n[left] + n[pivot] - common)
-        left = left[~near | (distance >= distance[~near].min() - limit - ROOM)]
-    return links
+    left, links = np.ones(len(found), bool), []
+    component = np.unique(component, return_inverse=True)[1]
+    index, owner = np.concatenate(found), np.repeat(np.arange(len(found)), n)
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], owner[order]
+    known: list[np.ndarray] = []
+    while True:
+        names, size = np.unique(component[left], return_counts=True)
+        if len(names) < 2:
+            return links
+        pivot = np.flatnonzero(left & (component != names[size.argmax()]))[0]
+        left[pivot] = False
+        others = left & (component != component[pivot])
+        for distance in known:
+            others &= ~(np.abs(distance - distance[pivot]) > limit + ROOM)
+        others = np.flatnonzero(others)
+        if not len(others):
+            continue
+        low, high = np.searchsorted(index, found[pivot], "left"), np.searchsorted(index, found[pivot], "right")
+        at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+        common = np.bincount(owner[at], minlength=len(found))[others]
+        if len(known) < 8:
+            known.append(np.full(len(found), np.nan))
+            known[-1][others] = 1 - common / (n[others] + n[pivot] - common)
+            known[-1][pivot] = 0
+        for i in others[_linked(common, n[others], n[pivot], percent)]:
+            links.append((pivot, i))
+            component[component == component[i]] = component[pivot]
 
 
 class _Join:
     def __init__(self, packed: DataFrame, gram: int, percent: int, fits: int, fits_shingles: int) -> None:
         self.packed, self.gram, self.percent, self.fits, self.fits_shingles = packed, gram, percent, fits, fits_shingles
         self.limit = 1 - percent / 100
+        self.partitions = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sized(self, regions: DataFrame) -> DataFrame:
         """Members and shingles of each region (region, class, n), beside its rows."""
         size = regions.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
         return regions.join(size.where("members > 1"), "region")
 
+    def open(self, regions: DataFrame, links: DataFrame) -> DataFrame:
+        """Regions of more than one component, with each member's component, ``minor`` for
+        those outside the largest one, and the region's members, shingles and minor members."""
+        roots = components(links)
+        rows = regions.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        rows = stored(rows.select("region", "class", "n", "root"))
+        parts = rows.groupBy("region", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        size = parts.groupBy("region").agg(
+            F.sum("k").alias("members"), F.sum("n").alias("shingles"), F.max("k").alias("largest"), F.max(F.struct("k", "root"))["root"].alias("major")
+        )
+        size = size.withColumn("minors", F.col("members") - F.col("largest")).where("minors > 0").drop("largest")
+        return stored(rows.join(size, "region").withColumn("minor", F.col("root") != F.col("major")).drop("major"))
+
     def measured(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
         """(region, class, n, pivot, common, size) for members and pivots that share a shingle.
 
         ``members``: region, class, n, parts; ``pivots``: region, class, parts. A region's members
         are dealt to parts, its pivots go to each part."""
-        gram = self.gram
-
-        def measure(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("pivot", "descending"), ("class", "ascending")])
-            flags, keys = group.column("pivot").to_pylist(), group.column("class").to_numpy()
-            found = _unpacked(group, gram)
-            k = sum(flags)
-            index, owner = np.concatenate(found[:k]), np.repeat(np.arange(k), list(map(len, found[:k])))
-            order = np.argsort(index, kind="stable")
-            index, owner = index[order], owner[order]
-            out = [[], [], [], [], []]
-            for key, own in zip(keys[k:], found[k:]):
-                low, high = np.searchsorted(index, own, "left"), np.searchsorted(index, own, "right")
-                at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
-                common = np.bincount(owner[at], minlength=k)
-                for p in np.flatnonzero(common):
-                    if keys[p] != key:
-                        for column, value in zip(out, (key, len(own), keys[p], common[p], len(found[p]))):
-                            column.append(int(value))
-            region = pa.array([group.column("region")[0].as_py()] * len(out[0]), pa.int64())
-            return pa.table([region, *[pa.array(x, pa.int64()) for x in out]], names=["region", "class", "n", "pivot", "common", "size"])
+        gram, names = self.gram, ["region", "class", "n", "pivot", "common", "size"]
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[list[int]] = [[] for _ in names]
+            for rows, found, last in _groups(batches, ["region", "part"], gram):
+                k = sum(r["pivot"] for r in rows)  # pivots come first
+                if k:
+                    index, owner = np.concatenate(found[:k]), np.repeat(np.arange(k), list(map(len, found[:k])))
+                    order = np.argsort(index, kind="stable")
+                    index, owner = index[order], owner[order]
+                    for row, own in zip(rows[k:], found[k:]):
+                        low, high = np.searchsorted(index, own, "left"), np.searchsorted(index, own, "right")
+                        at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+                        common = np.bincount(owner[at], minlength=k)
+                        for p in np.flatnonzero(common):
+                            if rows[p]["class"] != row["class"]:
+                                for column, value in zip(out, (row["region"], row["class"], len(own), rows[p]["class"], int(common[p]), len(found[p]))):
+                                    column.append(value)
+                if last:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+                    out = [[] for _ in names]
 
         parts = members.select("region", "class", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), F.lit(False).alias("pivot"))
         copies = pivots.select("region", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
         rows = parts.unionAll(copies).join(self.packed.select("class", "packed"), "class")
         schema = "region long, class long, n long, pivot long, common long, size long"
-        found = rows.groupBy("region", "part").applyInArrow(measure, schema)
+        dealt = rows.repartition(self.partitions, "region", "part").sortWithinPartitions("region", "part", F.col("pivot").desc(), "class")
+        found = dealt.mapInArrow(measure, schema)
         return found.withColumn("near", F.expr(f"100 * common >= {self.percent} * (n + size - common)")).withColumn("distance", F.expr("1 - common / (n + size - common)"))
 
     def parts(self):
-        return F.greatest(F.lit(1), F.ceil(F.col("members") / self.fits), F.ceil(F.col("shingles") / self.fits_shingles)).cast("long")
+        return F.greatest(F.lit(1), F.ceil(F.col("members") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("long")
 
     def windows(self, measured: DataFrame) -> DataFrame:
         """Members of each pivot's region that may have links yet to be found."""
@@ -256,39 +338,50 @@ class _Join:
         """Links inside regions that fit a task."""
         gram, percent = self.gram, self.percent
 
-        def finish(group: pa.Table) -> pa.Table:
-            keys = group.column("class").to_pylist()
-            links = _finish(_unpacked(group, gram), percent)
-            return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, b = [], []
+            for rows, found, last in _groups(batches, ["region"], gram):
+                for i, j in _finish(found, np.array([r["root"] for r in rows]), percent):
+                    a.append(rows[i]["class"])
+                    b.append(rows[j]["class"])
+                if last:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = [], []
 
-        return regions.select("region", "class").join(self.packed.select("class", "packed"), "class").groupBy("region").applyInArrow(finish, "a long, b long")
+        rows = regions.select("region", "class", "root").join(self.packed.select("class", "packed"), "class")
+        return rows.repartition(self.partitions, "region").sortWithinPartitions("region", "class").mapInArrow(finish, "a long, b long")
 
     def split(self, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links with, and regions of, pivots drawn from larger regions.
 
-        Let x, y be linked (at most d apart), h(.) the distance to the nearest pivot. If h(x) is
-        1 - d or more, h(y) is 1 - 2 d or more: both are in the far region. Else the pivot p
-        nearest to x is at most h(x) + d < 1 from y, hence measured, and at most h(y) + 2 d:
-        y is sent to p's region too."""
+        Pivots are minor members. Let x, y be linked (at most d apart), h(.) the distance to the
+        nearest pivot. If h(x) is 1 - d or more, h(y) is 1 - 2 d or more: both are in the far
+        region. Else the pivot p nearest to x is at most h(x) + d < 1 from y, hence measured, and
+        at most h(y) + 2 d: y is sent to p's region too. A region whose members lie so close
+        that this would more than double it stays in one piece, without its pivots."""
         d = self.limit
-        drawn = F.pmod(F.xxhash64("class", "region"), F.ceil(F.sqrt("members")).cast("long")) == 0
-        first = regions.groupBy("region").agg(F.min("class").alias("first"))
-        marked = regions.join(first, "region").withColumn("parts", self.parts()).withColumn("is_pivot", drawn | (F.col("class") == F.col("first")))
-        marked = stored(marked.select("region", "class", "n", "parts", "is_pivot"))
+        every = F.greatest(F.lit(1), F.ceil(F.col("minors") / F.ceil(F.sqrt("members")))).cast("long")
+        first = regions.where("minor").groupBy("region").agg(F.min("class").alias("first"))
+        drawn = (F.pmod(F.xxhash64("class", "region"), every) == 0) | (F.col("class") == F.col("first"))
+        marked = regions.join(first, "region").withColumn("parts", self.parts()).withColumn("is_pivot", F.col("minor") & drawn)
+        marked = stored(marked.select("region", "class", "n", "members", "parts", "is_pivot"))
         pivots = marked.where("is_pivot").select("region", "class", "parts")
         # pivots are measured against each other as well
         measured = stored(self.measured(marked.select("region", "class", "n", "parts"), pivots))
         links = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        rest = marked.where("not is_pivot").select("region", "class", "n")
+        rest = marked.where("not is_pivot").select("region", "class", "n", "members")
         nearest = measured.groupBy("region", "class").agg(F.min("distance").alias("h"))
         far = rest.join(nearest, ["region", "class"], "left").where(F.coalesce("h", F.lit(1.0)) >= 1 - 2 * d - ROOM)
         close = (
             measured.join(rest.select("region", "class"), ["region", "class"])
             .join(nearest.where(F.col("h") < 1 - d), ["region", "class"]).where(F.col("distance") <= F.col("h") + 2 * d + ROOM)
-            .withColumn("region", F.xxhash64("region", "pivot"))
         )
-        far = far.select(F.xxhash64("region", F.lit("far")).alias("region"), "class", "n")
-        return links, self.windows(close).unionAll(far)
+        copies = far.select("region").unionAll(close.select("region")).groupBy("region").agg(F.count("*").alias("copies"))
+        whole = stored(rest.groupBy("region").agg(F.first("members").alias("members")).join(copies, "region", "left").where("coalesce(copies, 0) > 2 * members").select("region"))
+        far = far.join(whole, "region", "leftanti").select(F.xxhash64("region", F.lit("far")).alias("region"), "class", "n")
+        close = close.join(whole, "region", "leftanti").withColumn("region", F.xxhash64("region", "pivot"))
+        kept = rest.join(whole, "region", "leftsemi").select("region", "class", "n")
+        return links, self.windows(close).unionAll(far).unionAll(kept)
 
 
 def jaccard_components(
@@ -299,32 +392,37 @@ def jaccard_components(
     docs, kind = source(df, id_col, text_col)
     profile = stored(_profile(docs, kind, gram))
     rows = profile.where("slot is null")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("check").alias("low"), F.max("check").alias("high"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     if classes.where("low <> high").limit(1).count():
         raise ValueError("two different sets have the same 64-bit key")
     pairs = _prefixes(docs, _sketch(profile), gram, percent).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").groupBy("shingle", "class").agg(F.lit(1).alias("one"))
-    elected = pairs.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
+    elected = pairs.groupBy("shingle").agg(F.min("class").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("shingle", "pivot", "k")
     # one row per member and pivot, however many shingles they share
-    star = stored(pairs.join(elected, "shingle").where("class <> pivot").select("class", F.col("pivot").alias("region")).distinct())
+    star = pairs.join(elected, "shingle").where("class <> pivot").groupBy("class", F.col("pivot").alias("region")).agg((F.max("k") > 2).alias("meets"))
+    # where no third class has the shingle only the two can be linked, if their sizes allow it
+    sizes = classes.select("class", "n")
+    star = star.join(sizes, "class").join(sizes.select(F.col("class").alias("region"), F.col("n").alias("m")), "region")
+    star = stored(star.where(F.col("meets") | (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("class", "region", "meets"))
     wanted = star.select("class").unionAll(star.select("region")).distinct().join(classes.select("class", "row"), "class")
     packed = stored(_fetch(docs, wanted, gram))
     join = _Join(packed, gram, percent, fits, fits_shingles)
 
-    members = join.sized(star.join(packed.select("class", "n"), "class").unionByName(star.select("region").distinct().select("region", F.col("region").alias("class")).join(packed.select("class", "n"), "class")))
+    members = join.sized(star.select("class", "region").join(packed.select("class", "n"), "class").unionByName(star.select("region").distinct().select("region", F.col("region").alias("class")).join(packed.select("class", "n"), "class")))
     members = stored(members.withColumn("parts", join.parts()).select("region", "class", "n", "parts"))
     measured = stored(join.measured(members.where("class <> region"), members.where("class = region").select("region", "class", "parts")))
-    links = [measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))]
-    regions = stored(join.sized(join.windows(measured)))
+    edges = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+    met = measured.join(star.where("meets").select("class", "region"), ["class", "region"], "leftsemi")
+    regions = join.open(join.windows(met), edges)
+    fit = (F.col("members") <= fits) & (F.col("shingles") <= fits_shingles) | (F.col("members") <= 2)
     while regions.limit(1).count():
-        fit = (F.col("members") <= fits) & (F.col("shingles") <= fits_shingles) | (F.col("members") <= 2)
-        links.append(stored(join.finished(regions.where(fit))))
-        more, rest = join.split(regions.where(~fit))
-        links.append(more)
-        regions = stored(join.sized(rest.distinct()))
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.unionAll(x)
-    roots = components(edges.distinct())
+        edges = stored(edges.unionAll(join.finished(regions.where(fit))).distinct())
+        large = regions.where(~fit)
+        if not large.limit(1).count():
+            break
+        more, rest = join.split(large)
+        edges = edges.unionAll(more)
+        regions = join.open(rest.distinct(), edges)
+    roots = components(edges)
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "root").select("class", "component_id")

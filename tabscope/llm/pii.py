@@ -9,14 +9,15 @@ documents, different ones stay different, and whoever holds the key can go back.
 | kind | check | kept |
 |---|---|---|
 | card | 13 to 19 digits, Luhn | first digit, separators, a right check digit |
-| iban | known length, mod 97 | country, letters' and digits' places, right check digits |
+| iban | its country's length, mod 97; what follows it is read anew | country, letters' and digits' places, right check digits |
 | ssn | area, group and serial in use | dashes |
 | phone | North American form, with area and exchange in use unless +1 or brackets mark it; other numbers with + and 8 to 15 digits | separators, country code or first two digits, in use or not |
 | ipv4 | four octets of 0 to 255 | private, loopback and link-local ranges |
-| date | a day of 1900 to 2099; year first, or day and month in either order | separators, order, zeros in front |
+| date | a day of 1900 to 2099; year first (a time may follow after T), or day and month in either order | separators, order, zeros in front |
 | email | local part and domain | domain, signs, letters' and digits' places of the local part |
 
-Digits inside longer runs of letters or digits are left alone. Null texts stay null, empty ones
+Digits inside longer runs of letters or digits are left alone. Where a check fails, reading goes on
+one character later, so a value behind or inside a failed one is found. Null texts stay null, empty ones
 empty. Rows are independent; other columns pass through unchanged.
 """
 
@@ -38,8 +39,15 @@ from .common import Memo, steps
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ssn", "phone", "ipv4", "card")
 
-# National lengths of account numbers.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# National lengths of account numbers, all of the IBAN registry.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+        "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+    ).split()
+}
 # Address ranges that stay within themselves (first address, size).
 IPV4_RANGES = ((10 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16), (127 << 24, 1 << 24), (169 << 24 | 254 << 16, 1 << 16))
 
@@ -49,7 +57,7 @@ DAYS = (datetime.date(2100, 1, 1) - FIRST_DAY).days
 FIND = re.compile(
     r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-]))
       |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-      |(?P<date>(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?![\w/-]|\.\d))
+      |(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d(?=[Tt]\d\d)|(?:\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4})(?![\w/-]|\.\d)))
       |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
       |(?P<phone>(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])
                |(?<!\w)\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w))
@@ -104,6 +112,17 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _national(text: str, match: re.Match) -> str | None:
+    """The start of an account number's match that has its country's length, if it ends there."""
+    left = IBAN_LENGTHS.get(match[0][:2], 0)
+    for end in range(match.start(), match.end()):
+        left -= text[end] != " "
+        if left == 0:
+            after = text[end + 1 : end + 2]
+            return None if after.isascii() and after.isalnum() else text[match.start() : end + 1]
+    return None
+
+
 def _refill(shape: str, symbols: str) -> str:
     """``shape`` with its letters and digits replaced, in order, by ``symbols``."""
     own = iter(symbols)
@@ -238,15 +257,18 @@ class Pseudonyms:
         if not MAY_HOLD.search(text):
             return text, counts
 
-        def one(match: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while match := FIND.search(text, at):
             kind = match.lastgroup
-            new = self.known[kind, match[0]]
-            if new is None:
-                return match[0]
+            value = _national(text, match) if kind == "iban" else match[0]
+            new = self.known[kind, value] if value else None
+            if new is None:  # what is inside the match, or behind its first value, may pass
+                at = match.start() + 1
+                continue
             counts[kind] += 1
-            return new
-
-        return FIND.sub(one, text), counts
+            out += text[done : match.start()], new
+            done = at = match.start() + len(value)
+        return "".join(out) + text[done:], counts
 
 
 def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", counts_col: str = "replaced") -> DataFrame:

@@ -44,6 +44,24 @@ def test_what_fails_its_check_stays():
     assert own.replace(text)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("GB29NWBK60161331926819 BIC NWBKGB2L", ["iban"]), ("GB29 NWBK 6016 1331 9268 19 4111 1111 1111 1111", ["iban", "card"]),
+        ("DE89370400440532013000 1234567890 X", ["iban"]), ("XX12 ABCD DE89370400440532013000", ["iban"]), ("1234 4111 1111 1111 1111", ["card"]),
+        ("GR1601101250000000012300695 and", ["iban"]), ("TR330006100519786457841326 TL", ["iban"]), ("MT84MALT011000012345MTLCAST001S EUR 20", ["iban"]),
+        ("SA0380000000608010167519 12", ["iban"]), ("HU42117730161111101800000000, RO49AAAA1B31007593840000", ["iban", "iban"]),
+        ("at 2021-03-14T10:00:00Z and", ["date"]), ("2021-03-14T10:00", ["date"]), ("2021-03-14Tx", []), ("DE89370400440532013000X 1", []),
+    ],
+)
+def test_values_before_other_values_are_replaced(text, kinds):
+    new, counts = Pseudonyms(b"key").replace(text)
+    assert sorted(counts.elements()) == sorted(kinds)
+    values = ("GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1111", "DE89370400440532013000", "2021-03-14")
+    assert len(new) == len(text) and (not kinds or not any(v in new for v in values))
+    assert Pseudonyms(b"key", back=True).replace(new)[0] == text
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutation_is_one_without_fixed_values(size):
     p = Permutation(b"key", "t", size)

@@ -6,7 +6,8 @@ largest response, and a logistic unit weighs these. Texts of any length are scor
 by step.
 
 The network is fitted on a bounded sample of labelled rows (``sample_docs`` per class at most,
-lowest hash of the id first, ``sample_bytes`` of text altogether). One fold of the sample is
+lowest hash of the id first, and ``sample_bytes`` of text per class; what does not fit is skipped,
+and a class of which no text fits is an error). One fold of the sample is
 left out of the fit; on it, one threshold per language is set where the rates of caught and of
 wrongly flagged rows are furthest apart. The language is predicted from the words themselves
 (frequencies in the sample), so neither scoring nor calibration needs a language column. Scores
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, raw_texts, source, steps
+from .common import Memo, raw_texts, source, steps, stored
 from .decontaminate import words_of
 
 WIDTHS = (1, 2, 3)
@@ -212,24 +213,28 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, training: Column, id_col: str, text_col: str, label_col: str, lang_col: str,
     sample_docs: int, sample_bytes: int,
 ) -> list:
-    """At most ``sample_docs`` rows per class and ``sample_bytes`` of whole texts."""
-    marked = labels.where(training).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    ids = None
-    for y in (0, 1):
-        own = marked.where(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-        ids = own if ids is None else ids.unionAll(own)
+    """Per class, at most ``sample_docs`` ids and ``sample_bytes`` of whole texts, in the order of a
+    hash of the id. An id whose texts do not fit is skipped, and the next ones are tried."""
+    marked = labels.where(training).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = rows.select("id", F.octet_length("text").cast("long").alias("size")).groupBy("id").agg(F.sum("size").alias("size")).join(marked, "id")
+    # read up to four times below, without the texts
+    sizes = stored(sizes)
+    chosen = []
+    for y in (0, 1):
+        own = sizes.where(F.col("y") == y)
+        total, some = 0, False
+        # bounded by the parameter
+        for r in own.where(F.col("size") <= sample_bytes).orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect():
+            some = True
+            if total + r.size <= sample_bytes:
+                total += r.size
+                chosen.append((r.id, r.y))
+        if not some and own.limit(1).count():
+            raise ValueError(f"each text of class {y} has more than sample_bytes = {sample_bytes} bytes")
     # the sample's size is bounded by the parameters
-    found = rows.join(F.broadcast(ids), "id")
-    sizes = found.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
-    total, chosen = 0, []
-    for r in sorted(sizes, key=lambda r: xxhash.xxh3_64_intdigest(repr(r.id).encode())):
-        total += r.size
-        if total > sample_bytes:
-            break
-        chosen.append(r.id)
-    picked = found.where(F.col("id").isin(chosen)) if len(chosen) < len(sizes) else found
-    return picked.orderBy(F.xxhash64("id"), "id", "text", "y").collect()
+    picked = docs.sparkSession.createDataFrame(chosen, marked.schema)
+    return rows.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", "text", "y").collect()
 
 
 def fit(

@@ -13,7 +13,7 @@ from tabscope.llm.common import fold, table
 from tabscope.llm.language import fit, identify, mixtures
 from tabscope.llm.queries import op5_language_mixture, op7_context_tree_weighting, op9_toxicity
 from tabscope.llm.toxicity import fit as fit_toxicity
-from tabscope.llm.toxicity import toxicity
+from tabscope.llm.toxicity import labelled_sample, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,6 +80,23 @@ def test_toxicity_of_odd_rows(spark, odd):
         assert {r.score for r in toxicity(odd, fit_toxicity(docs, some, F.lit(True))).collect()} == {want}
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    long = {3, 10, 17, 24, 31, 38}
+    texts = [(i, ("bad " if i % 2 else "kind ") * (2000 if i in long else 4), "en") for i in range(40)]
+    docs = spark.createDataFrame([*texts, (50, None, "en"), (60, "no label", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), 50, 70]], "doc_id long, toxic int")
+    sample = lambda d, n, size: labelled_sample(d, labels, F.lit(True), "doc_id", "text", "toxic", "lang", n, size)
+    assert {r.id for r in sample(docs, 100, 700)} == set(range(40)) - long
+    assert {r.id for r in sample(docs, 100, 1 << 20)} == set(range(40))
+    # the bound holds per class: 20 bytes for a text of class 0, 16 for one of class 1
+    found = Counter(r.y for r in sample(docs, 100, 100))
+    assert found == {0: 5, 1: 6} and Counter(r.y for r in sample(docs, 3, 700)) == {0: 3, 1: 3}
+    net = fit_toxicity(docs, labels, F.lit(True), sample_bytes=700)
+    assert net.constant is None
+    with pytest.raises(ValueError, match="class 1"):
+        sample(docs.where("doc_id % 2 = 0 or doc_id in (3, 17)"), 100, 700)
+
+
 def brute_tree(train: list[bytes], depth: int):
     """Direct context-tree weighting over dictionaries: log10 probability of a stream."""
     counts = defaultdict(lambda: [0, 0])

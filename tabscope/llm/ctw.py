@@ -2,19 +2,19 @@
 
 A text is its words (runs without ASCII white space, A-Z in lower case) joined by one space and
 ended by a line feed. Each byte is eight binary decisions, and each decision has a context tree:
-the node of depth d is the last d bytes (0 to ``DEPTH``) with the bits already known. A node
+the node of depth d is the last d bytes (0 to ``depth``) with the bits already known. A node
 estimates its next bit by Krichevsky and Trofimov's rule and mixes this with what the node one
 byte deeper says; the mixing weight is the node's share in the weighted probability of all
 training decisions, ``P_w = (KT + prod P_w(children)) / 2``. Where no deeper node was seen, the
 deepest seen one decides.
 
-Training counts every run of ``DEPTH`` + 1 bytes of all training texts. Each task reads its
+Training counts every run of ``depth`` + 1 bytes of all training texts. Each task reads its
 documents in blocks and lists a block's distinct runs, with their training counts, by class of
 the last two context bytes. Lists of a class are summed, salted groups first, so that a class
 holds a run once however many blocks have it; subtrees below two bytes are complete in their
 class, and what is above (256 + 1 contexts of 255 nodes, a fixed bound) is combined on the
-driver and sent to all tasks. The classes give each block its runs' probabilities, and a block
-adds them up along its texts. Token counts for the base score go the same way.
+driver and sent to all tasks. The classes give each block its runs' probabilities, in the order of the
+runs and without them, and a block adds them up along its texts. Token counts for the base score go the same way.
 
 Null texts count as empty: the end alone. Rows are scored one by one; repeated rows get equal
 scores. With nothing to learn from, every bit has probability 1/2. Extra columns are ignored.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, hashed, raw_texts, scrambled, source, steps, stored, word_hashes
 
-DEPTH = 5
-START = b"\n" * DEPTH
+#: Context bytes unless ``depth`` says otherwise; a run of depth + 1 bytes is a 64-bit number.
+DEPTH = 6
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 LN_HALF = np.log(0.5)
 
@@ -45,12 +45,12 @@ def stream(text: bytes) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + b"\n"
 
 
-def runs(joined: bytes) -> np.ndarray:
-    """Each run of DEPTH + 1 bytes as a number, oldest byte highest."""
+def runs(joined: bytes, depth: int = DEPTH) -> np.ndarray:
+    """Each run of ``depth`` + 1 bytes as a number, oldest byte highest."""
     data = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    n = len(data) - DEPTH
+    n = len(data) - depth
     out = np.zeros(max(n, 0), np.uint64)
-    for i in range(DEPTH + 1):
+    for i in range(depth + 1):
         out = (out << np.uint64(8)) | data[i : i + n]
     return out
 
@@ -115,13 +115,13 @@ def above(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys & np.uint64((1 << (8 * depth)) - 1)
 
 
-def subtrees(keys: np.ndarray, counts: np.ndarray, least: int = 2) -> dict[int, Nodes]:
-    """Nodes of depth DEPTH down to ``least`` for all runs of whole classes."""
+def subtrees(keys: np.ndarray, counts: np.ndarray, least: int = 2, deepest: int = DEPTH) -> dict[int, Nodes]:
+    """Nodes of depth ``deepest`` down to ``least`` for all runs of whole classes."""
     out: dict[int, Nodes] = {}
-    for depth in range(DEPTH, least - 1, -1):
+    for depth in range(deepest, least - 1, -1):
         node, zeros, ones = counted(keys, counts, depth)
         below = None
-        if depth < DEPTH:
+        if depth < deepest:
             child = out[depth + 1]
             below = np.bincount(np.searchsorted(node, above(child.keys, depth + 1)), child.log, len(node))
         out[depth] = Nodes(node, zeros, ones, below)
@@ -144,7 +144,7 @@ def log10_p(keys: np.ndarray, tree: dict[int, Nodes]) -> np.ndarray:
     for j in range(8):
         prefix = ((1 << j) | (byte >> (8 - j))).astype(np.uint64)
         p, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-        for depth in range(DEPTH, -1, -1):
+        for depth in range(max(tree), -1, -1):
             context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
             tree[depth].mixed((context << np.uint64(8)) | prefix, p, seen)
         total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, p, 1 - p))
@@ -182,8 +182,15 @@ def class_of(kind: str, keys: np.ndarray, classes: int) -> np.ndarray:
     return (scrambled((keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == GRAM else keys) >> np.uint64(20)).astype(np.int64) % classes
 
 
+def inside(length: np.ndarray, depth: int) -> np.ndarray:
+    """Which runs of texts joined with ``depth`` bytes before each lie in one text; ``length`` counts both."""
+    starts = np.cumsum(length) - length
+    return np.arange(length.sum()) - np.repeat(starts, length) < np.repeat(length - depth, length)
+
+
 class _Block:
-    def __init__(self) -> None:
+    def __init__(self, depth: int) -> None:
+        self.depth = depth
         self.docs: list[dict] = []
         self.streams: list[bytes] = []
         self.lists: dict[str, list] = {GRAM: [], WORD: []}
@@ -192,14 +199,15 @@ class _Block:
 
     def add(self, ids: list, training: list[bool], raw: list[bytes], memo) -> None:
         parts = [stream(t) for t in raw]
-        joined = START + START.join(s for _, s in parts)
+        start = b"\n" * self.depth
+        joined = start + start.join(s for _, s in parts)
         self.digest.update(joined)
         self.streams.append(zstandard.compress(joined, 3))
         self.docs += [{"id": i, "held": not t, "length": len(s), "words": len(w)} for i, t, (w, s) in zip(ids, training, parts)]
         self.size += len(joined)
-        keys = runs(joined)
-        length = np.array([len(s) for _, s in parts]) + DEPTH
-        own = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)[: len(keys)] < np.repeat(length - DEPTH, length)[: len(keys)]
+        keys = runs(joined, self.depth)
+        length = np.array([len(s) for _, s in parts]) + self.depth
+        own = inside(length, self.depth)[: len(keys)]
         teaches = np.repeat(np.array(training, bool), length)[: len(keys)]
         words = [np.append(hashed(w, memo), END_KEY) for w, _ in parts]
         word_teaches = np.repeat(np.array(training, bool), list(map(len, words)))
@@ -258,10 +266,13 @@ def _summed(group: pa.Table) -> pa.Table:
 
 def code_lengths(
     df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None,
-    block_runs: int = 2_500_000, block_bytes: int = 32 << 20, step_bytes: int = 512 << 10,
+    block_runs: int = 2_500_000, block_bytes: int = 32 << 20, step_bytes: int = 512 << 10, depth: int = DEPTH,
 ) -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
-    ``score`` (log10 probability) and ``bits_per_byte``; ``training`` selects rows to learn from."""
+    ``score`` (log10 probability) and ``bits_per_byte``; ``training`` selects rows to learn from, ``depth``
+    (2 to 7) is the number of context bytes."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
     spark = df.sparkSession
     n_classes = classes or max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     _, kind = source(df, id_col, text_col)
@@ -272,7 +283,7 @@ def code_lengths(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, number = word_hashes(), TaskContext.get().partitionId(), 0
-        block, rows_of = _Block(), []
+        block, rows_of = _Block(depth), []
         for step in steps(batches, "text", step_bytes):
             block.kind = step.column(0).type
             learn = step.column(2).to_pylist()
@@ -283,7 +294,7 @@ def code_lengths(
                 number += 1
                 block.rows_of = rows_of
                 yield block.rows(f"{part}-{number}", n_classes, salts)
-                block, rows_of = _Block(), []
+                block, rows_of = _Block(depth), []
         if block.docs:
             block.rows_of = rows_of
             yield block.rows(f"{part}-{number + 1}", n_classes, salts)
@@ -306,7 +317,7 @@ def code_lengths(
             for payload in batch.column(0).to_pylist():
                 keys, n = unpack(payload, "<u8")
                 if len(keys):
-                    found = subtrees(keys, n)[2]
+                    found = subtrees(keys, n, deepest=depth)[2]
                     node, inverse = np.unique(above(found.keys, 2), return_inverse=True)
                     sums = [np.bincount(inverse, x, len(node)) for x in (found.zeros, found.ones, found.log)]
                     yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, sums)], ["node", "zeros", "ones", "below"])
@@ -327,43 +338,58 @@ def code_lengths(
         lists_ = [unpack(x)[0] for x in asked.column("payload").to_pylist()]
         every = np.unique(np.concatenate([np.empty(0, np.uint64), *lists_]))
         if group.column("kind")[0].as_py() == GRAM:
-            found = log10_p(every, {**subtrees(known, n.astype(np.float64)), **shared.value})
+            found = log10_p(every, {**subtrees(known, n.astype(np.float64), deepest=depth), **shared.value})
         else:
             at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
             found = np.where(known[at] == every, n[at], 0) if len(known) else np.zeros(len(every), np.uint64)
         form = VALUES[group.column("kind")[0].as_py()]
-        out = [pack(x, found[np.searchsorted(every, x)], form) for x in lists_]
-        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "payload": pa.array(out, pa.binary())})
+        # values in the order of the list's keys, which the block finds again in its texts
+        out = [zstandard.compress(_planes(found[np.searchsorted(every, x)], form), 3) for x in lists_]
+        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "class": asked.column("class"), "payload": pa.array(out, pa.binary())})
 
     asked = scanned.where("kind <> 'h'").select("kind", "class", "salt", F.lit(1).alias("order"), "block", "payload")
     models = learned.select("kind", "class", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("block"), "payload")
-    answers = asked.unionAll(models).groupBy("kind", "class", "salt").applyInArrow(answer, "block string, kind string, payload binary")
+    answers = asked.unionAll(models).groupBy("kind", "class", "salt").applyInArrow(answer, "block string, kind string, class int, payload binary")
 
     def score(group: pa.Table) -> pa.Table:
         heads = group.filter(pa.compute.equal(group.column("kind"), "h"))
         header = heads.slice(0, 1).to_pylist()[0]
         if header["used"] != group.num_rows - 1:
             raise ValueError("a block came together incomplete; its input gave other rows on a retry")
+        memo, docs = word_hashes(), header["docs"]
+        known_keys: dict[str, list] = {GRAM: [], WORD: []}
+
+        def read() -> Iterator[tuple]:
+            at = 0
+            for n_docs, packed in zip(header["rows"], header["streams"]):
+                joined = zstandard.decompress(packed)
+                length = np.array([d["length"] for d in docs[at : at + n_docs]]) + depth
+                at += n_docs
+                starts = np.cumsum(length) - length
+                words = [np.append(hashed(joined[s + depth : s + n].split(), memo), END_KEY) for s, n in zip(starts, length)]
+                yield runs(joined, depth), inside(length, depth), starts, words
+
+        for keys, own, _, words in read():
+            known_keys[GRAM].append(np.unique(keys[own[: len(keys)]]))
+            known_keys[WORD].append(np.unique(np.concatenate(words)))
+            if len(known_keys[GRAM]) == 12:
+                known_keys = {k: [np.unique(np.concatenate(x))] for k, x in known_keys.items()}
         table = {}
         for name in (GRAM, WORD):
-            parts = [unpack(x, VALUES[name]) for x in group.filter(pa.compute.equal(group.column("kind"), name)).column("payload").to_pylist()]
-            keys, values = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(keys)
-            table[name] = keys[order], values[order]
-        memo, docs, at = word_hashes(), header["docs"], 0
+            keys = np.unique(np.concatenate(known_keys[name]))
+            own = class_of(name, keys, n_classes)
+            order = np.argsort(own, kind="stable")
+            part = group.filter(pa.compute.equal(group.column("kind"), name)).sort_by("class")
+            counts_, form = np.bincount(own, minlength=n_classes), VALUES[name]
+            values = [_from_planes(zstandard.decompress(x), counts_[c], form) for c, x in zip(part.column("class").to_pylist(), part.column("payload").to_pylist())]
+            table[name] = keys, np.empty(len(keys), form)
+            table[name][1][order] = np.concatenate(values)
         score_, base, known = [], [], []
-        for n_docs, packed in zip(header["rows"], header["streams"]):
-            joined = zstandard.decompress(packed)
-            own = docs[at : at + n_docs]
-            at += n_docs
+        for found, own, starts, words in read():
             keys, values = table[GRAM]
-            length = np.array([d["length"] for d in own]) + DEPTH
-            starts = np.cumsum(length) - length
-            logs = np.append(values[np.minimum(np.searchsorted(keys, runs(joined)), len(keys) - 1)], np.zeros(DEPTH))
-            inside = np.arange(len(logs)) - np.repeat(starts, length) < np.repeat(length - DEPTH, length)
-            score_.append(np.add.reduceat(np.where(inside, logs, 0.0).astype(np.float64), starts))
+            logs = np.append(values[np.minimum(np.searchsorted(keys, found), len(keys) - 1)], np.zeros(depth))
+            score_.append(np.add.reduceat(np.where(own, logs, 0.0).astype(np.float64), starts))
             keys, values = table[WORD]
-            words = [np.append(hashed(joined[s + DEPTH : s + n].split(), memo), END_KEY) for s, n in zip(starts, length)]
             sizes = np.array(list(map(len, words)))
             c = values[np.searchsorted(keys, np.concatenate(words))].astype(np.float64)
             first_ = np.cumsum(sizes) - sizes
@@ -380,7 +406,7 @@ def code_lengths(
             }
         )
 
-    heads = scanned.where("kind = 'h'").select("block", "kind", "payload", "used", "docs", "rows", "streams")
-    back = answers.select("block", "kind", "payload", *[F.lit(None).cast(t).alias(n) for n, t in (("used", "int"), ("docs", doc), ("rows", "array<int>"), ("streams", "array<binary>"))])
+    heads = scanned.where("kind = 'h'").select("block", "kind", "class", "payload", "used", "docs", "rows", "streams")
+    back = answers.select("block", "kind", "class", "payload", *[F.lit(None).cast(t).alias(n) for n, t in (("used", "int"), ("docs", doc), ("rows", "array<int>"), ("streams", "array<binary>"))])
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return heads.unionAll(back).groupBy("block").applyInArrow(score, out).withColumnRenamed("id", id_col)

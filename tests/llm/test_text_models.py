@@ -165,6 +165,19 @@ def test_code_lengths_equal_a_direct_tree(spark):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5, atol=2e-3)
 
 
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_code_lengths_by_depth(spark, depth):
+    texts = ["abcdefgh abcdefgh", "Xbcdefgi ybcdefgj", "the cat sat on the mat", "abcdefgh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    streams = [ctw.stream(t.encode())[1] for t in texts]
+    want = [brute_tree(streams[:3], depth)(s) for s in streams]
+    found = ctw.code_lengths(df, F.col("doc_id") < 3, classes=5, block_runs=20, step_bytes=20, depth=depth).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in found], want, atol=2e-3)
+    if depth == 6:
+        default = ctw.code_lengths(df, F.col("doc_id") < 3).orderBy("doc_id").collect()
+        assert np.allclose([r.score for r in default], want, atol=2e-3)
+
+
 def test_code_lengths_without_training_and_empty(spark, odd):
     rows = ctw.code_lengths(odd.where("doc_id < 6"), F.lit(False)).collect()
     assert all(math.isclose(r.bits_per_byte, 8) and r.n_known == 0 and r.train_tokens == 0 for r in rows)

@@ -186,6 +186,18 @@ def test_template_words_are_left_out(spark):
     assert main_text(df).count() == len(rows) and main_text(df.limit(0)).count() == 0
 
 
+def test_empty_pages_and_copies_do_not_make_or_end_a_template(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(25)]
+    page = "<html><body><div><p>Written by staff: {}</p></div></body></html>"
+    rows = [(i, "http://host.example/", page.format(t)) for i, t in enumerate(texts)]
+    rows += [(100, "http://host.example/", None), (101, "http://host.example/", ""), (102, "http://host.example/", " <!-- x -->")]
+    rows += [(200 + i, "http://copies.example/", page.format("one text of its own")) for i in range(30)]
+    found = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [found[i] for i in range(25)] == texts and [found[i] for i in (100, 101, 102)] == [""] * 3
+    assert {found[200 + i] for i in range(30)} == {"Written by staff: one text of its own"}
+
+
 def test_pages_whole(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = op10_html_extraction(spark, SF).collect()

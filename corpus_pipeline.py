@@ -37,7 +37,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no language: undetermined, or a mixture in which none has half."""
     model = fit(docs, fold("doc_id", 5) != 0)
     found = identify(docs, *model, keep=COLUMNS[1:])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+    # not the score: of a text in one language it is the posterior over languages alike
+    share = F.array_max(F.map_values("mixture"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (share >= LEAST_SHARE)).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,10 @@ def test_registered_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def test_texts_of_one_of_several_like_languages_stay(spark):
+    words = ["the cat sat on the mat", "a dog ran over the hill", "we walk home in the rain"]
+    rows = [(i, f"{words[i % 3]} and {words[i // 3 % 3]}", f"l{i % 4}", "s", 1) for i in range(144)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == len(rows)

@@ -160,16 +160,36 @@ def _from_planes(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, n).T.copy().view(kind).reshape(n)
 
 
-def pack(keys: np.ndarray, values: np.ndarray, kind: str = "<u4") -> bytes:
-    """Sorted keys as differences, and a value each."""
-    steps_ = np.diff(keys, prepend=np.uint64(0))
-    return len(keys).to_bytes(8, "little") + zstandard.compress(_planes(steps_, "<u8") + _planes(values, kind), 3)
+def _nearest_first(keys: np.ndarray) -> np.ndarray:
+    """Runs with the context's bytes from the nearest to the oldest, then the last byte."""
+    x = keys.byteswap()
+    return (x << np.uint64(8)) | (x >> np.uint64(56))
+
+
+def _as_runs(x: np.ndarray) -> np.ndarray:
+    return ((x >> np.uint64(8)) | (x << np.uint64(56))).byteswap()
+
+
+def pack(keys: np.ndarray, values: np.ndarray, kind: str = "<u4", runs_: bool = False) -> bytes:
+    """Sorted keys and a value each: runs sorted from the nearest byte, others as differences."""
+    if runs_:
+        keys = _nearest_first(keys)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+    else:
+        keys = np.diff(keys, prepend=np.uint64(0))
+    return bytes([runs_]) + len(keys).to_bytes(8, "little") + zstandard.compress(_planes(keys, ">u8") + _planes(values, kind), 3)
 
 
 def unpack(payload: bytes, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(payload[:8], "little")
-    raw = zstandard.decompress(payload[8:])
-    return np.cumsum(_from_planes(raw[: 8 * n], n, "<u8"), dtype=np.uint64), _from_planes(raw[8 * n :], n, kind)
+    n = int.from_bytes(payload[1:9], "little")
+    raw = zstandard.decompress(payload[9:])
+    keys, values = _from_planes(raw[: 8 * n], n, ">u8").astype(np.uint64), _from_planes(raw[8 * n :], n, kind)
+    if not payload[0]:
+        return np.cumsum(keys, dtype=np.uint64), values
+    keys = _as_runs(keys)
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 GRAM, WORD = "g", "w"
@@ -236,7 +256,7 @@ class _Block:
             for c, a, b in zip(used.tolist(), first, [*first[1:], len(keys)]):
                 kinds.append(kind)
                 class_.append(c)
-                payloads.append(pack(keys[order[a:b]], counts[order[a:b]]))
+                payloads.append(pack(keys[order[a:b]], counts[order[a:b]], runs_=kind == GRAM))
         n = len(kinds)
         nothing = [None] * (n - 1)
         docs = pa.list_(pa.struct([("id", self.kind), ("held", pa.bool_()), ("length", pa.int64()), ("words", pa.int64())]))
@@ -259,7 +279,7 @@ def _summed(group: pa.Table) -> pa.Table:
         {
             "kind": group.column("kind")[:1], "class": group.column("class")[:1], "wide": pa.array([True]),
             "keys": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()),
-            "payload": pa.array([pack(keys, counts, "<u8")], pa.binary()),
+            "payload": pa.array([pack(keys, counts, "<u8", group.column("kind")[0].as_py() == GRAM)], pa.binary()),
         }
     )
 

@@ -178,6 +178,16 @@ def test_code_lengths_by_depth(spark, depth):
         assert np.allclose([r.score for r in default], want, atol=2e-3)
 
 
+@pytest.mark.parametrize("depth", [2, 5, 6, 7])
+def test_packed_runs_come_back(depth):
+    words = np.random.default_rng(1).choice(["the", "and", "table", "of", "window", "runs", "small"], 20_000)
+    keys, n = np.unique(ctw.runs(" ".join(words).encode(), depth), return_counts=True)
+    packed = ctw.pack(keys, n, runs_=True)
+    for found in (ctw.unpack(packed), ctw.unpack(ctw.pack(keys, n))):
+        assert (found[0] == keys).all() and (found[1] == n).all()
+    assert all(len(x) == 0 for x in ctw.unpack(ctw.pack(keys[:0], n[:0], runs_=True)))
+
+
 def test_code_lengths_without_training_and_empty(spark, odd):
     rows = ctw.code_lengths(odd.where("doc_id < 6"), F.lit(False)).collect()
     assert all(math.isclose(r.bits_per_byte, 8) and r.n_known == 0 and r.train_tokens == 0 for r in rows)

@@ -61,7 +61,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     for i in range(7):
         low *= x + i
     y = x + 7
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - np.log(low)
 
 
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -193,8 +193,8 @@ def unpack(payload: bytes, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
 
 
 GRAM, WORD = "g", "w"
-#: What a class answers: a log probability, an exact count.
-VALUES = {GRAM: "<f4", WORD: "<u8"}
+#: A class answers whole numbers: counts of words, and of runs -log10 of the probability in these parts.
+PARTS = 1 << 30
 
 
 def class_of(kind: str, keys: np.ndarray, classes: int) -> np.ndarray:
@@ -358,13 +358,12 @@ def code_lengths(
         lists_ = [unpack(x)[0] for x in asked.column("payload").to_pylist()]
         every = np.unique(np.concatenate([np.empty(0, np.uint64), *lists_]))
         if group.column("kind")[0].as_py() == GRAM:
-            found = log10_p(every, {**subtrees(known, n.astype(np.float64), deepest=depth), **shared.value})
+            found = np.rint(-PARTS * log10_p(every, {**subtrees(known, n.astype(np.float64), deepest=depth), **shared.value})).astype(np.uint64)
         else:
             at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
             found = np.where(known[at] == every, n[at], 0) if len(known) else np.zeros(len(every), np.uint64)
-        form = VALUES[group.column("kind")[0].as_py()]
         # values in the order of the list's keys, which the block finds again in its texts
-        out = [zstandard.compress(_planes(found[np.searchsorted(every, x)], form), 3) for x in lists_]
+        out = [zstandard.compress(_planes(found[np.searchsorted(every, x)], "<u8"), 3) for x in lists_]
         return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "class": asked.column("class"), "payload": pa.array(out, pa.binary())})
 
     asked = scanned.where("kind <> 'h'").select("kind", "class", "salt", F.lit(1).alias("order"), "block", "payload")
@@ -400,14 +399,14 @@ def code_lengths(
             own = class_of(name, keys, n_classes)
             order = np.argsort(own, kind="stable")
             part = group.filter(pa.compute.equal(group.column("kind"), name)).sort_by("class")
-            counts_, form = np.bincount(own, minlength=n_classes), VALUES[name]
-            values = [_from_planes(zstandard.decompress(x), counts_[c], form) for c, x in zip(part.column("class").to_pylist(), part.column("payload").to_pylist())]
-            table[name] = keys, np.empty(len(keys), form)
+            counts_ = np.bincount(own, minlength=n_classes)
+            values = [_from_planes(zstandard.decompress(x), counts_[c], "<u8") for c, x in zip(part.column("class").to_pylist(), part.column("payload").to_pylist())]
+            table[name] = keys, np.empty(len(keys), np.uint64)
             table[name][1][order] = np.concatenate(values)
         score_, base, known = [], [], []
         for found, own, starts, words in read():
             keys, values = table[GRAM]
-            logs = np.append(values[np.minimum(np.searchsorted(keys, found), len(keys) - 1)], np.zeros(depth))
+            logs = np.append(values[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] / -PARTS, np.zeros(depth))
             score_.append(np.add.reduceat(np.where(own, logs, 0.0).astype(np.float64), starts))
             keys, values = table[WORD]
             sizes = np.array(list(map(len, words)))

@@ -83,20 +83,21 @@ def _responses(net: Network, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def logits(net: Network, coded: Coded) -> np.ndarray:
-    """Logit of each text."""
+    """Logit of each text; sums run in an order that does not depend on the other texts."""
     words = np.vstack([net.table[coded.features].sum(1), np.zeros((1, net.table.shape[1]), np.float32)])
     pooled = []
     for k, width in enumerate(WIDTHS):
-        taps = [words @ net.filters[k][j] for j in range(width)]  # per distinct word
+        taps = [np.einsum("wd,df->wf", words, net.filters[k][j]) for j in range(width)]  # per distinct word
         n = len(coded.tokens) - width + 1
         out = taps[0][coded.tokens[:n]]
         for j in range(1, width):
             out += taps[j][coded.tokens[j : n + j]]
-            # a window that would reach into the next text counts as blank
-            ends = np.append(coded.starts[1:], len(coded.tokens)) - j
-            out[ends[ends < n]] = 0
+        # windows that would reach into the next text count as blank
+        ends = np.append(coded.starts[1:], len(coded.tokens))
+        for j in range(1, width):
+            out[(ends - j)[ends - j < n]] = 0
         pooled.append(np.maximum(np.maximum.reduceat(out, coded.starts, axis=0) + net.biases[k], 0))
-    return np.hstack(pooled) @ net.weights + net.bias
+    return (np.hstack(pooled) * net.weights).sum(1) + net.bias
 
 
 def languages(net: Network, coded: Coded) -> np.ndarray:

@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabscope.llm import ctw
-from tabscope.llm.common import fold, table
+from tabscope.llm.common import Memo, fold, table
+from tabscope.llm.decontaminate import words_of
 from tabscope.llm.language import fit, identify, mixtures
 from tabscope.llm.queries import op5_language_mixture, op7_context_tree_weighting, op9_toxicity
+from tabscope.llm.toxicity import WIDTHS, Coded, Network, labelled_sample, logits, toxicity
+from tabscope.llm.toxicity import _feature as features_of
 from tabscope.llm.toxicity import fit as fit_toxicity
-from tabscope.llm.toxicity import labelled_sample, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,6 +82,30 @@ def test_toxicity_of_odd_rows(spark, odd):
         assert {r.score for r in toxicity(odd, fit_toxicity(docs, some, F.lit(True))).collect()} == {want}
 
 
+def brute_logit(net, text, feature):
+    """Forward pass of one text, window by window."""
+    words = [net.table[list(feature(w))].sum(0) for w in words_of(text)]
+    pooled = []
+    for k, width in enumerate(WIDTHS):
+        rows = words + [np.zeros(net.table.shape[1])] * (len(WIDTHS) + width - 1)
+        responses = [sum(rows[i + j] @ net.filters[k][j] for j in range(width)) for i in range(len(words) + 1)]
+        pooled.append(np.maximum(np.max(responses, axis=0) + net.biases[k], 0))
+    return float(np.hstack(pooled) @ net.weights + net.bias)
+
+
+def test_logits_of_a_batch_are_those_of_each_text():
+    draw = np.random.default_rng(5)
+    net = Network(
+        draw.normal(size=(512, 4)), [draw.normal(size=(w, 4, 6)) for w in WIDTHS], [draw.normal(size=6) for _ in WIDTHS],
+        draw.normal(size=6 * len(WIDTHS)), 0.3,
+    )
+    feature = features_of(512)
+    raw = [b"alpha", b"beta gamma", b"", b"x y z w", b"alpha", b"one two three four five six seven", b"beta"]
+    alone = [logits(net, Coded([t], Memo(feature)))[0] for t in raw]
+    assert np.allclose(logits(net, Coded(raw, Memo(feature))), alone, atol=1e-12)
+    assert np.allclose(alone, [brute_logit(net, t, feature) for t in raw], atol=1e-12)
+
+
 def test_long_texts_do_not_end_the_sample(spark):
     long = {3, 10, 17, 24, 31, 38}
     texts = [(i, ("bad " if i % 2 else "kind ") * (2000 if i in long else 4), "en") for i in range(40)]

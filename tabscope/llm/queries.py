@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align
 from .bpe import decode_ids, encode_texts
 from .common import fold, table
 from .ctw import code_lengths
@@ -142,3 +143,10 @@ def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 75 % common five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document, by corpus-wide pair counts."""
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -282,7 +282,7 @@ def _scan(a_path: str, b_path: str, kind: str, block_chars: int, block_chunks: i
 
 
 def align(
-    df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 12 << 20, block_chunks: int = 300_000,
+    df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20, block_chunks: int = 200_000,
 ) -> DataFrame:
     """Per row: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best`` (links whose pair is the most
     counted one of its ``b`` id), ``count_sum`` (counts of the links' pairs) and ``groups_sha256``."""

@@ -13,6 +13,7 @@ from .bpe import decode_ids, encode_texts
 from .common import fold, table
 from .ctw import code_lengths
 from .decontaminate import contamination
+from .embeddings import embedding_links
 from .fingerprints import neighbour_fingerprints
 from .html_extract import main_text
 from .jaccard import jaccard_components
@@ -150,3 +151,23 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two tokenizers in every document, by corpus-wide pair counts."""
     docs = table(spark, sf_dir, "documents")
     return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every embedding at a cosine of 0.95 or more, and its component."""
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_embedding_links"] = """
+with recursive e as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where isfinite(list_sum(cast(embedding as double[]))) and greatest(list_max(embedding), -list_min(embedding)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+          where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+roots as (select a as vec_id, min(b) as component_id from reach group by a),
+counts as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from roots left join counts using (vec_id)
+"""

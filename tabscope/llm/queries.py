@@ -19,6 +19,7 @@ from .html_extract import main_text
 from .jaccard import jaccard_components
 from .language import fit, identify
 from .pii import KINDS, pseudonymise
+from .ranked_search import ranked_search
 from .token_counts import token_counts
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
@@ -171,3 +172,25 @@ counts as (select a as vec_id, count(*) as n_links from links group by a)
 select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
 from roots left join counts using (vec_id)
 """
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(coalesce(" + _LOWER + r", ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_ranked_search"] = f"""
+with d as (select doc_id, {_TERMS.format("text")} as w from documents),
+lengths as (select doc_id, cast(len(w) as bigint) as n from d where len(w) > 0),
+totals as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from lengths),
+tf as (select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d) group by doc_id, t),
+w as (select t, cast(floor(1000 * ln(cast(2 * max(big_n) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from tf, totals group by t),
+i as (select distinct item_id, t from (select item_id, unnest({_TERMS.format("text")}) as t from benchmark)),
+scored as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) as bigint) as score
+           from i join w using (t) join tf using (t) join lengths using (doc_id), totals group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""

@@ -2,12 +2,14 @@
 
 Global order without a global window
 ------------------------------------
-A number is placed in a *leaf* by (signed octave, slot inside the octave).  The
-placement is a fixed, monotone function of the value, so every evaluation of a
-plan agrees on it, whatever executor runs it.  Leaf totals are small (at most
-65,536 slots per octave), running totals over them need only windows inside one
-octave and one over the octaves, and rows are ordered only inside their leaf.
-No task ever sorts a whole group.
+A number is placed in a *leaf* by (signed octave, slot inside the octave), the first
+16 bits of its mantissa.  Leaves that hold more than 1,024 rows and more than one in
+4,096 rows of their group are *wide* and divided again by the next 20 bits (``_fine``).
+Placement is a monotone function of the value and of exact counts, so every evaluation
+of a plan agrees on it, whatever executor runs it.  Running totals over leaves need
+windows over the octaves, over at most 65,536 slots of an octave and over at most
+1,048,576 parts of a wide leaf; rows are ordered only inside their (part of a) leaf.
+A part of a wide leaf holds at most 65,536 distinct doubles, however close they lie.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS = 65536
+#: First division of an octave, second division of a wide leaf.
+SLOTS, PARTS = 65536, 1 << 20
+#: A leaf is wide above this many rows and above one in LEAVES rows of its group.
+LEAST_WIDE, LEAVES = 1024, 4096
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Mapping], schema: pa.Schema) -> DataFrame:
@@ -101,72 +106,81 @@ def pair_counts(
 # ordered running totals
 
 
-def leaf_sql(value: str) -> tuple[str, str]:
-    """SQL for (octave, slot) of a finite or infinite number; monotone in the value.
+def _with_leaf(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_octave``, ``_slot`` and ``_fine``, each monotone inside the one before.
 
-    Slots are as fine as the number is small, so values are placed by their distance
-    from the group's least value (``_low``, see :func:`_anchored`): timestamps, large ids
-    and scores close to each other spread over many leaves.  Written as text: a plan needs it several times, and one parsed expression is
-    much cheaper to build from Python than a tree of column calls.
+    coalesce makes all non-nullable: no null filter is then inferred for the joins
+    on them, so all branches keep the same input and share its exchange.
     """
-    x = f"(cast({value} as double) - _low)"
+    x = f"cast(`{value}` as double)"
     octave = f"least(greatest(floor(log2(abs({x}))), -1000), 1024)"
-    # coalesce makes both non-nullable: no null filter is then inferred for the joins
-    # on them, so all branches keep the same input and share its exchange.
-    top = f"coalesce(cast(signum({x}) * ({octave} + 1100) as int), 0)"
-    slot = f"coalesce(cast(signum({x}) * floor(abs({x}) * pow(2.0D, -cast({octave} as double)) * {SLOTS}) as bigint), 0L)"
-    return top, slot
-
-
-def _anchored(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """Add ``_low``, the least finite value of the group (0 if there is none)."""
-    v = f"cast(`{value}` as double)"
-    low = F.expr(f"coalesce(min(case when abs({v}) < double('infinity') then {v} end), 0.0D)").alias("_low")
-    if not groups:
-        return df.withColumn("_low", df.agg(low).scalar())
-    # One row per declared group.
-    return df.join(F.broadcast(df.groupBy(*groups).agg(low)), list(groups))
-
-
-def _with_leaf(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    octave, slot = leaf_sql(f"`{value}`")
-    return _anchored(df, value, groups).withColumns({"_octave": F.expr(octave), "_slot": F.expr(slot)}).drop("_low")
+    placed = df.withColumn("_octave", F.expr(f"coalesce(cast(signum({x}) * ({octave} + 1100) as int), 0)"))
+    # Mantissa times 65,536: an exact product, as is its fraction; 4 stands for infinity.
+    placed = placed.withColumn("_part", F.expr(f"coalesce(least(abs({x}) * pow(2.0D, cast(1100 - abs(_octave) as double)), 4.0D) * {SLOTS}, 0.0D)"))
+    slot = f"coalesce(cast(signum({x}) * floor(_part) as bigint), 0L)"
+    fine = f"coalesce(cast(signum({x}) * floor((_part - floor(_part)) * {PARTS}) as bigint), 0L)"
+    return placed.withColumns({"_slot": F.expr(slot), "_fine": F.expr(fine)}).drop("_part")
 
 
 def _leaf_offsets(
-    leaves: DataFrame, groups: Sequence[str], measures: Sequence[str], descending: bool
+    keyed: DataFrame, groups: Sequence[str], measures: Sequence[str], size: str, descending: bool
 ) -> DataFrame:
-    """Add ``before_m`` (sum over earlier leaves) and ``total_m`` to leaf sums."""
-    g = "".join(f"`{c}`, " for c in groups)
+    """Leaf sums ``_leaf_m`` with ``before_m`` (sum over earlier leaves), ``total_m`` and ``_wide``.
+
+    ``size`` is the SQL aggregate that counts a leaf's rows.
+    """
+    names = [f"`{c}`" for c in groups]
     way = "desc" if descending else "asc"
     earlier = "rows between unbounded preceding and 1 preceding"
-    scope = ", ".join(f"`{c}`" for c in groups) or "0"
+    scope = ", ".join(names) or "0"
+    sums = [F.expr(f"sum({m})").alias(f"_leaf_{m}") for m in measures]
+    leaves = keyed.groupBy(*groups, "_octave", "_slot").agg(*sums, F.expr(size).alias("_size"))
     # One row per octave: at most a few thousand per group.
-    tops = leaves.groupBy(*groups, "_octave").agg(*[F.sum(m).alias(f"_top_{m}") for m in measures], F.count("*").alias("_k"))
+    tops = leaves.groupBy(*groups, "_octave").agg(
+        *[F.sum(f"_leaf_{m}").alias(f"_top_{m}") for m in measures], F.sum("_size").alias("_rows"), F.count("*").alias("_k")
+    )
     tops = tops.selectExpr(
-        *[f"`{c}`" for c in groups],
+        *names,
         "_octave",
         f"sum(_k) over (partition by {scope}) as _leaves",
+        f"greatest({LEAST_WIDE}, sum(_rows) over (partition by {scope}) / {LEAVES}) as _most",
         *[f"coalesce(sum(_top_{m}) over (partition by {scope} order by _octave {way} {earlier}), 0) as _skip_{m}" for m in measures],
         *[f"sum(_top_{m}) over (partition by {scope}) as total_{m}" for m in measures],
     )
     inside = leaves.selectExpr(
-        *[f"`{c}`" for c in groups],
-        "_octave",
-        "_slot",
-        *[f"{m} as _leaf_{m}" for m in measures],
-        *[f"coalesce(sum({m}) over (partition by {g}_octave order by _slot {way} {earlier}), 0) as _in_{m}" for m in measures],
+        *[f"`{c}`" for c in leaves.columns],
+        *[f"coalesce(sum(_leaf_{m}) over (partition by {', '.join([*names, '_octave'])} order by _slot {way} {earlier}), 0) as _in_{m}" for m in measures],
     )
     # Broadcast bound: octaves (about 4,200 at most) times declared groups.
     return inside.join(F.broadcast(tops), [*groups, "_octave"]).selectExpr(
-        *[f"`{c}`" for c in groups],
-        "_octave",
-        "_slot",
-        "_leaves",
-        *[f"_leaf_{m}" for m in measures],
-        *[f"_in_{m} + _skip_{m} as before_{m}" for m in measures],
-        *[f"total_{m}" for m in measures],
+        *names, "_octave", "_slot", "_leaves", "_size > _most as _wide",
+        *[f"_leaf_{m}" for m in measures], *[f"_in_{m} + _skip_{m} as before_{m}" for m in measures], *[f"total_{m}" for m in measures],
+    )
+
+
+def _divided(keyed: DataFrame, leaves: DataFrame, leaf: Sequence[str], measures: Sequence[str], descending: bool) -> DataFrame:
+    """``leaves`` with a row for every part (``_fine``) of a wide leaf; the others have part 0."""
+    way = "desc" if descending else "asc"
+    offsets = [f"{k}_{m}" for m in measures for k in ("before", "total")]
+    # Broadcast bound: fewer than LEAVES wide leaves per declared group.
+    wide = F.broadcast(leaves.where("_wide").select(*leaf, *offsets))
+    parts = keyed.join(wide, list(leaf)).groupBy(*leaf, "_fine").agg(
+        *[F.sum(m).alias(m) for m in measures], *[F.max(c).alias(c) for c in offsets]
+    )
+    scope = ", ".join(f"`{c}`" for c in leaf)
+    earlier = f"over (partition by {scope} order by _fine {way} rows between unbounded preceding and 1 preceding)"
+    parts = parts.selectExpr(
+        *[f"`{c}`" for c in leaf], "_fine",
+        *[f"before_{m} + coalesce(sum({m}) {earlier}, 0) as before_{m}" for m in measures], *[f"total_{m}" for m in measures],
     )
+    whole = leaves.where("not _wide").withColumn("_fine", F.lit(0).cast("bigint"))
+    return whole.select(*parts.columns).unionAll(parts)
+
+
+def _in_parts(keyed: DataFrame, leaves: DataFrame, leaf: Sequence[str]) -> DataFrame:
+    """``_fine`` only where the leaf is wide, else 0."""
+    marked = keyed.join(F.broadcast(leaves.where("_wide").select(*leaf, "_wide")), list(leaf), "left")
+    return marked.withColumn("_fine", F.expr("if(_wide is null, 0L, _fine)")).drop("_wide")
 
 
 def ordered_totals(
@@ -183,13 +197,14 @@ def ordered_totals(
     distinct values, so a value shared by a third of all rows is one row here.
     Group keys must not be null.
     """
-    g, way = "".join(f"`{c}`, " for c in groups), "desc" if descending else "asc"
-    keyed = _with_leaf(df, order, groups)
-    leaves = keyed.groupBy(*groups, "_octave", "_slot").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = _leaf_offsets(leaves, groups, measures, descending).drop("_leaves", *[f"_leaf_{m}" for m in measures])
-    local = f"over (partition by {g}_octave, _slot order by `{order}` {way} rows between unbounded preceding and current row)"
-    running = keyed.selectExpr("*", *[f"sum({m}) {local} as _run_{m}" for m in measures])
-    return running.join(offsets, [*groups, "_octave", "_slot"]).selectExpr(
+    way, leaf = "desc" if descending else "asc", [*groups, "_octave", "_slot"]
+    keyed = _with_leaf(df, order)
+    leaves = _leaf_offsets(keyed, groups, measures, "count(*)", descending)
+    offsets = _divided(keyed, leaves, leaf, measures, descending)
+    scope = ", ".join([*[f"`{c}`" for c in groups], "_octave", "_slot", "_fine"])
+    local = f"over (partition by {scope} order by `{order}` {way} rows between unbounded preceding and current row)"
+    running = _in_parts(keyed, leaves, leaf).selectExpr("*", *[f"sum({m}) {local} as _run_{m}" for m in measures])
+    return running.join(offsets, [*leaf, "_fine"]).selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[f"before_{m} + _run_{m} as cum_{m}" for m in measures],
         *[f"total_{m}" for m in measures],
@@ -221,31 +236,28 @@ def _located_values(
     wanted leaves are counted per value.  The wanted leaves are broadcast: they
     are a small multiple of (probabilities x declared groups), whatever the data.
     """
-    g = "".join(f"`{c}`, " for c in groups)
-    octave, slot = leaf_sql(f"`{value}`")
-    keyed = _anchored(df.where(f"`{value}` is not null"), value, groups).selectExpr(
-        *[f"`{c}`" for c in groups],
-        f"`{value}` as _v",
-        f"cast({weight or 1} as bigint) as n",
-        f"{octave} as _octave",
-        f"{slot} as _slot",
-    )
-    keys = [*groups, "_octave", "_slot"]
-    offsets = _leaf_offsets(keyed.groupBy(*keys).agg(F.sum("n").alias("n")), groups, ["n"], descending=False)
-    targets = offsets.where(wanted).select(*keys, "before_n", "total_n", "_leaves")
+    narrow = df.where(f"`{value}` is not null").selectExpr(*[f"`{c}`" for c in groups], f"`{value}` as _v", f"cast({weight or 1} as bigint) as n")
+    keyed = _with_leaf(narrow, "_v")
+    leaf = [*groups, "_octave", "_slot"]
+    leaves = _leaf_offsets(keyed, groups, ["n"], "sum(n)", descending=False)
+    targets = leaves.where(wanted).select(*leaf, "before_n", "total_n", "_leaves")
     inside = (
-        keyed.join(F.broadcast(targets), keys)
-        .groupBy(*keys, "_v", "before_n", "total_n", "_leaves")
+        keyed.join(F.broadcast(targets), leaf)
+        .groupBy(*leaf, "_fine", "_v", "before_n", "total_n", "_leaves")
         .agg(F.sum("n").alias("n"))
     )
-    earlier = f"over (partition by {g}_octave, _slot order by _v rows between unbounded preceding and 1 preceding)"
-    return inside.selectExpr(
+    # Many distinct values may share a wanted leaf: they are ordered part by part.
+    scope = ", ".join(f"`{c}`" for c in leaf)
+    earlier = "rows between unbounded preceding and 1 preceding"
+    parts = inside.groupBy(*leaf, "_fine").agg(F.sum("n").alias("_part_n"))
+    parts = parts.selectExpr(*[f"`{c}`" for c in leaf], "_fine", f"coalesce(sum(_part_n) over (partition by {scope} order by _fine {earlier}), 0) as _skip")
+    return inside.join(parts, [*leaf, "_fine"]).selectExpr(
         *[f"`{c}`" for c in groups],
         "cast(_v as double) as _v",
         "n",
         "total_n",
         "_leaves",
-        f"before_n + coalesce(sum(n) {earlier}, 0) as _start",
+        f"before_n + _skip + coalesce(sum(n) over (partition by {scope}, _fine order by _v {earlier}), 0) as _start",
     )
 
 

@@ -83,12 +83,10 @@ def test_ordered_totals_match_cumsum(spark, descending):
 def test_leaf_is_monotone(spark):
     rng = np.random.default_rng(5)
     values = np.unique(np.concatenate([2.0 ** np.arange(-1070, 1023, 7), rng.normal(0, 1, 500), -(2.0 ** np.arange(-1070, 1023, 9)), [0.0]]))
-    octave, slot = scale.leaf_sql("v")
-    for low in (0.0, float(values.min()), -3.5):
-        df = spark.createDataFrame(pd.DataFrame({"v": values, "_low": low}))
-        rows = df.selectExpr("v", f"{octave} o", f"{slot} s").orderBy("v").collect()
-        keys = [(r.o, r.s) for r in rows]
-        assert keys == sorted(keys)
+    values = np.concatenate([values, [-np.inf, np.inf], 1 + np.arange(300) * 2.0**-40, -1 - np.arange(300) * 2.0**-40])
+    df = scale._with_leaf(spark.createDataFrame(pd.DataFrame({"v": np.unique(values)})), "v")
+    keys = [(r._octave, r._slot, r._fine) for r in df.orderBy("v").collect()]
+    assert keys == sorted(keys) and len({k for k in keys if k[:2] == (1100, 65536)}) > 10
 
 
 def test_average_ranks_match_pandas(spark):
@@ -155,11 +153,38 @@ def test_target_roles(spark):
     }
 
 
-def test_close_values_far_from_zero_spread_over_leaves(spark):
-    from tabscope.operators.scale import _with_leaf, exact_quantiles
-
-    df = spark.range(50_000).selectExpr("'f' as feature", "id * 7 + 1700000000000000 as value")
-    leaves = _with_leaf(df, "value", ["feature"]).groupBy("_octave", "_slot").count()
-    assert leaves.agg({"count": "max"}).first()[0] <= 4
-    found = exact_quantiles(df, "value", {"q1": 0.25, "q3": 0.75}, ["feature"]).first()
-    assert (found.q1, found.q3) == (12499.75 * 7 + 1.7e15, 37499.25 * 7 + 1.7e15)
+def largest_leaf(df, value):
+    """Most rows that one task orders, as a share of all."""
+    keyed = scale._with_leaf(df, value)
+    leaves = scale._leaf_offsets(keyed.withColumn("n", F.lit(1)), [], ["n"], "count(*)", False)
+    parts = scale._in_parts(keyed, leaves, ["_octave", "_slot"]).groupBy("_octave", "_slot", "_fine").count()
+    return parts.agg(F.max("count") / F.sum("count")).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("values", "share"),
+    [
+        ("id * 7 + 1700000000000000", 0.02),
+        ("if(id = 0, 0, 1700000000000000 + id * 31)", 0.02),
+        ("if(id = 0, 0.001D, 0.999D + id * 1e-9)", 0.02),
+        ("if(id = 0, -5.0D, -1e12D - id / 64)", 0.02),
+        ("if(id < 3, id, if(id < 9, 1e15D + id, 1e15D + 1e9D + id))", 0.05),  # 8,192 neighbours share 36 bits
+    ],
+)
+def test_values_close_to_each_other_are_ordered_in_small_parts(spark, values, share):
+    df = spark.range(200_000).selectExpr(f"cast({values} as double) as v", "1L as n")
+    assert largest_leaf(df, "v") < share
+    ranked = scale.average_ranks(df, "v", "n").select("v", "rank").toPandas().sort_values("v")
+    assert ranked["rank"].tolist() == list(range(1, 200_001))
+    down = scale.ordered_totals(df, "v", ["n"], descending=True).toPandas().sort_values("v")
+    assert down.cum_n.tolist() == list(range(200_000, 0, -1))
+    found = scale.exact_quantiles(df, "v", {"q1": 0.25, "m": 0.5, "q9": 0.99}).first()
+    want = np.quantile(df.toPandas().v, [0.25, 0.5, 0.99])
+    assert [found.q1, found.m, found.q9] == pytest.approx(list(want), rel=1e-15)
+
+
+def test_numeric_stats_of_stamps_beside_a_zero(spark):
+    df = spark.range(200_000).selectExpr("if(id = 0, 0L, 1700000000000000L + id * 13) as stamp")
+    row = numeric.numeric_stats(df, ["stamp"]).first()
+    q1, median, q3 = np.quantile(df.toPandas().stamp, [0.25, 0.5, 0.75])
+    assert (row.q1, row.median, row.q3, row.min, row.unique_values, row.outliers) == (q1, median, q3, 0, 200_000, 1)

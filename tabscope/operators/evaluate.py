@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import f_beta, ratio, ratio_or_zero
 from .checks import assert_checks, checks_from
 from .effects import bin_of
-from .scale import at, by_name, exact_quantiles, ordered_totals
+from .scale import exact_quantiles, ordered_totals
 
 # Fixed value: smallest distance of a probability from 0 and 1 in the log loss.
 EPSILON = 2.220446049250313e-16
@@ -202,7 +202,7 @@ def pr_curve(scored: DataFrame, groups: Sequence[str] = (), label: str = "label"
         ratio(F.col("cum_pos"), F.col("cum_n")).alias("precision"),
         F.coalesce(ratio(F.col("cum_pos"), F.col("total_pos")), F.lit(1.0)).alias("recall"),
     )
-    end = scored.groupBy(*groups).agg(F.count("*").alias("_n")).select(
+    end = scored.where(_usable(label, score)).groupBy(*groups).agg(F.count("*").alias("_n")).select(
         *groups, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
     )
     return points.unionByName(end)
@@ -220,7 +220,7 @@ def roc_curve(scored: DataFrame, groups: Sequence[str] = (), label: str = "label
         ratio(F.col("cum_n") - F.col("cum_pos"), F.col("total_n") - F.col("total_pos")).alias("fpr"),
         ratio(F.col("cum_pos"), F.col("total_pos")).alias("tpr"),
     )
-    start = scored.groupBy(*groups).agg(F.count("*").alias("_n")).select(
+    start = scored.where(_usable(label, score)).groupBy(*groups).agg(F.count("*").alias("_n")).select(
         *groups, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)
@@ -235,8 +235,12 @@ def calibration_curve(
     label: str = "label",
     score: str = "score",
 ) -> DataFrame:
-    """Mean score and positive share per score bin; empty bins are absent."""
-    s = F.col(score)
+    """Mean score and positive share per score bin of usable rows; empty bins are absent.
+
+    Quantile edges come from each group's own scores and are joined by group, so groups
+    are not bounded in number.
+    """
+    s, scored = F.col(score), scored.where(_usable(label, score))
     if strategy == "uniform":
         index = F.lit(1)
         for i in range(1, bins):
@@ -246,12 +250,12 @@ def calibration_curve(
         names = {f"e{i}": i / bins for i in range(bins + 1)}
         if groups:
             tagged = scored.withColumn("_g", F.to_json(F.struct(*groups)))
-            edges = exact_quantiles(tagged, score, names, ["_g"]).select("_g", F.array(*names).alias("edges"))
-            lookup = at(by_name(edges, "_g", ["edges"]), F.col("_g"))
+            edges = exact_quantiles(tagged, score, names, ["_g"]).select("_g", F.array(*names).alias("_edges"))
+            placed = tagged.join(edges, "_g")
         else:
-            tagged = scored
-            lookup = exact_quantiles(scored, score, names).select(F.struct(F.array(*names).alias("edges")).alias("e")).scalar()
-        placed = tagged.withColumn("_e", lookup).withColumn("bin", bin_of(f"`{score}`", "_e.edges", bins))
+            edges = exact_quantiles(scored, score, names).select(F.array(*names).alias("_edges"))
+            placed = scored.withColumn("_edges", edges.scalar())
+        placed = placed.withColumn("bin", bin_of(f"`{score}`", "_edges", bins))
     else:
         raise ValueError("strategy must be 'uniform' or 'quantile'")
     return placed.groupBy(*groups, "bin").agg(

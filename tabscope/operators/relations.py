@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import clamp01, entropy, n_log_n, pearson, uncertainty, weighted_pearson
-from .scale import average_ranks, exact_quantiles, one_row, pair_counts
+from .scale import exact_quantiles, one_row, ordered_totals, pair_counts
 
 # Default thresholds.
 STRONG_NUMERICAL = 0.80
@@ -82,28 +82,43 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rank_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of every pair, ranked inside its complete rows.
 
-    Joint value counts come first, so repeated values cost one row.  Ranks are
-    joined back by value; a value shared by very many joint rows is a skewed
-    equi-join with one match per row, which AQE splits.
+    A column is ranked once: one ordered pass over its distinct values counts, for every
+    other column, the rows in which that one is present too, and so has the ranks of all
+    its pairs.  They are joined back by value, one join a column; a value shared by very
+    many rows is a skewed equi-join with one match per row, which AQE splits.  The rows
+    shuffled grow with the columns, not with the pairs.
     """
     return _rank_correlation(df, _numbers(df, columns), list(combinations(columns, 2)))
 
 
+def _ranks_of(shaped: DataFrame, i: int, partners: Sequence[int]) -> DataFrame:
+    """(v_i, r_i): per distinct value, its centred rank among the rows complete with each partner."""
+    measures = [f"n_{j}" for j in partners]
+    counts = shaped.where(f"v_{i} is not null").groupBy(f"v_{i}").agg(
+        *[F.count_if(F.col(f"v_{j}").isNotNull()).alias(n) for j, n in zip(partners, measures)]
+    )
+    centred = ", ".join(f"cum_{n} - ({n} + total_{n}) / 2.0D" for n in measures)
+    return ordered_totals(counts, f"v_{i}", measures).selectExpr(f"v_{i}", f"array({centred}) as r_{i}")
+
+
 def _rank_correlation(df: DataFrame, values: Mapping[str, Column], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    joint = pair_counts(df, values, pairs, numbered=True)
-    ranks = {}
-    for side in ("a", "b"):
-        counts = joint.groupBy("pair", f"value_{side}").agg(F.sum("n").alias("n"))
-        ranked = average_ranks(counts, f"value_{side}", "n", ["pair"])
-        ranks[side] = ranked.selectExpr("pair", f"value_{side}", f"rank - (total_n + 1) / 2.0D as rank_{side}")
-    placed = joint.join(ranks["a"], ["pair", "value_a"]).join(ranks["b"], ["pair", "value_b"])
-    r = weighted_pearson(F.col("rank_a"), F.col("rank_b"), F.col("n"))
-    found = placed.groupBy("pair").agg(F.sum("n").alias("valid_rows"), r.alias("rank_r"))
-    # pairs without a complete row keep a row, with no correlation
-    declared = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
-    names = [F.array(*[F.lit(p[i]) for p in pairs])[F.col("pair")].alias(PAIR[i]) for i in (0, 1)]
-    valid = F.coalesce("valid_rows", F.lit(0).cast("bigint")).alias("valid_rows")
-    return declared.join(found, "pair", "left").select(*names, valid, "rank_r", F.abs("rank_r").alias("abs_rank_r"))
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    at_ = {n: i for i, n in enumerate(names)}
+    partners = {i: sorted({at_[b] for p in pairs for a, b in (p, p[::-1]) if at_[a] == i}) for i in range(len(names))}
+    shaped = df.select(*[values[n].alias(f"v_{i}") for i, n in enumerate(names)])
+    placed = shaped
+    for i, own in partners.items():
+        placed = placed.join(_ranks_of(shaped, i, own), f"v_{i}", "left")
+    parts, entries = [], []
+    for k, (a, b) in enumerate(pairs):
+        i, j = at_[a], at_[b]
+        x, y = F.col(f"r_{i}")[partners[i].index(j)], F.col(f"r_{j}")[partners[j].index(i)]
+        both = F.col(f"v_{i}").isNotNull() & F.col(f"v_{j}").isNotNull()
+        # ranks are exact halves, centred before
+        parts += [F.count_if(both).alias(f"n_{k}"), weighted_pearson(x, y, F.when(both, F.lit(1))).alias(f"r_{k}")]
+        r = F.col(f"r_{k}")
+        entries.append(F.struct(F.lit(a).alias(PAIR[0]), F.lit(b).alias(PAIR[1]), F.col(f"n_{k}").alias("valid_rows"), r.alias("rank_r"), F.abs(r).alias("abs_rank_r")))
+    return placed.agg(*parts).select(F.inline(F.array(*entries)))
 
 
 def numeric_pairs(

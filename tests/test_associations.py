@@ -133,3 +133,21 @@ def test_proxy_methods(spark):
 def test_split_leakage(spark):
     df = spark.createDataFrame([(1, "train"), (1, "test"), (2, "train"), (2, "train")], "k int, split string")
     assert [r.k for r in leakage.split_leakage(df, ["k"], "split").collect()] == [1]
+
+
+def test_rank_pairs_with_nulls_in_every_pattern(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.integers(0, 40, (3000, 4)).astype(float), columns=list("abcd"))
+    frame["b"] += frame["a"]
+    frame["c"] = np.where(frame["a"] > 20, 7.0, frame["c"])
+    for name in "abc":
+        frame.loc[rng.random(3000) < 0.3, name] = np.nan
+    frame["e"] = np.nan
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, d double, e double").repartition(3)
+    for r in relations.rank_pairs(df, list("abcde")).collect():
+        both = frame[[r.feature_a, r.feature_b]].dropna()
+        assert r.valid_rows == len(both)
+        if len(both):
+            assert r.rank_r == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-12) and r.abs_rank_r == abs(r.rank_r)
+        else:
+            assert r.rank_r is None

@@ -112,3 +112,23 @@ def test_final_evaluation_happens_once(spark, data, tmp_path):
     assert done.deltas.collect()[0].delta == pytest.approx(auc - 0.5)
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         evaluate.evaluate_final(df, path, [0.5])
+
+
+def test_calibration_and_curves_leave_out_bad_rows(spark):
+    good = [(g, label, score) for g in ("a", "b") for label, score in ((0, 0.05), (1, 0.95), (1, 0.55), (0, 0.45))]
+    bad = [("a", 1, None), ("a", None, 0.5), ("a", 2, 3.0), ("a", 1, float("nan")), ("c", 2, 0.5), ("c", 1, -0.1)]
+    schema = "g string, label int, score double"
+    clean, dirty = (spark.createDataFrame(x, schema) for x in (good, good + bad))
+    for strategy in ("uniform", "quantile"):
+        for groups in ([], ["g"]):
+            want, found = (sorted(map(tuple, evaluate.calibration_curve(d, groups, bins=4, strategy=strategy).collect())) for d in (clean, dirty))
+            assert found == want and all(0 <= r[-1] <= 1 and 0 <= r[-2] <= 1 for r in found)
+    for curve in (evaluate.pr_curve, evaluate.roc_curve):
+        want, found = (sorted(map(str, curve(d, ["g"]).collect())) for d in (clean, dirty))
+        assert found == want
+
+
+def test_quantile_calibration_of_many_groups(spark):
+    df = spark.range(60_000).selectExpr("id % 20000 as g", "cast(id % 3 = 0 as int) as label", "(id % 7) / 7D as score")
+    found = evaluate.calibration_curve(df, ["g"], bins=2, strategy="quantile")
+    assert found.groupBy().agg(F.sum("n"), F.count_distinct("g")).first()[:] == (60_000, 20_000)

@@ -187,4 +187,4 @@ def test_numeric_stats_of_stamps_beside_a_zero(spark):
     df = spark.range(200_000).selectExpr("if(id = 0, 0L, 1700000000000000L + id * 13) as stamp")
     row = numeric.numeric_stats(df, ["stamp"]).first()
     q1, median, q3 = np.quantile(df.toPandas().stamp, [0.25, 0.5, 0.75])
-    assert (row.q1, row.median, row.q3, row.min, row.unique_values, row.outliers) == (q1, median, q3, 0, 200_000, 1)
+    assert (row.q1, row.median, row.q3, row.minimum, row.unique_values, row.outliers) == (q1, median, q3, 0, 200_000, 1)

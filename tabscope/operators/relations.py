@@ -105,7 +105,8 @@ def _rank_correlation(df: DataFrame, values: Mapping[str, Column], pairs: Sequen
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
     at_ = {n: i for i, n in enumerate(names)}
     partners = {i: sorted({at_[b] for p in pairs for a, b in (p, p[::-1]) if at_[a] == i}) for i in range(len(names))}
-    shaped = df.select(*[values[n].alias(f"v_{i}") for i, n in enumerate(names)])
+    # as a generated row: the optimiser would turn joins on a column of one literal into nested loops
+    shaped = df.select(F.inline(F.array(F.struct(*[values[n].alias(f"v_{i}") for i, n in enumerate(names)]))))
     placed = shaped
     for i, own in partners.items():
         placed = placed.join(_ranks_of(shaped, i, own), f"v_{i}", "left")

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 # Queries that fit models or write files while the plan is built.
 ACTIVE = {
     "model_search", "final_fit", "model_round_trip", "describe_model", "score_batch", "preprocess_features",
-    "write_idempotent", "verify_handoff", "write_splits", "read_csv_table", "final_evaluation",
+    "selection_evidence", "write_idempotent", "verify_handoff", "write_splits", "read_csv_table", "final_evaluation",
 }
 
 

@@ -10,7 +10,7 @@ import pytest
 
 from tabscope.llm import fingerprints as fp
 from tabscope.llm import pii
-from tabscope.llm.html_extract import extract, main_text
+from tabscope.llm.html_extract import classes, extract, main_text, profiles, read, rounds
 from tabscope.llm.pii import FIND, Permutation, Pseudonyms, luhn, pseudonymise
 from tabscope.llm.queries import op3_pii_pseudonyms, op6_fingerprints, op10_html_extraction
 
@@ -173,29 +173,100 @@ def test_extract_by_roles():
     assert extract("<p>a<p>b</i> c <sc", frozenset()) == "a\nb c"
 
 
-def test_template_words_are_left_out(spark):
+def _pages(spark, rows):
+    df = spark.createDataFrame([(*x, "h", ["t"]) for x in rows], "page_id long, url string, html string, host string, template array<string>").repartition(4)
+    return {x.page_id: x for x in main_text(df).collect()}
+
+
+def _words(r, k=60):
+    return " ".join(r.choices([f"w{i}" for i in range(500)], k=k))
+
+
+def test_template_blocks_are_left_out_and_running_text_stays(spark):
     r = random.Random(4)
-    body = lambda: " ".join(r.choices([f"w{i}" for i in range(500)], k=60))
-    texts = [body() for _ in range(30)]
-    page = "<html><body><div><span>Share this page</span></div><div><p>Written by staff: {}</p></div></body></html>"
+    texts = [f"Written by staff: {_words(r)}" for _ in range(30)]
+    page = "<html><body><div><span>Share this page</span></div><div><p>{}</p></div></body></html>"
     rows = [(i, f"http://host.example/{i}", page.format(t)) for i, t in enumerate(texts)] + [(100, "http://few.example/", page.format("alone")), (101, None, None), (101, None, None), (102, "x", "")]
-    df = spark.createDataFrame([(*x, "h", ["t"]) for x in rows], "page_id long, url string, html string, host string, template array<string>").repartition(4)
-    found = {x.page_id: x for x in main_text(df).collect()}
+    found = _pages(spark, rows)
     assert [found[i].text for i in range(30)] == texts
-    assert found[100].text == "Share this page\nWritten by staff: alone" and found[101].text == "" and found[102].n_chars == 0
+    assert found[100].text == "Share this page\nalone" and found[101].text == "" and found[102].n_chars == 0
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert main_text(df).count() == len(rows) and main_text(df.limit(0)).count() == 0
 
 
 def test_empty_pages_and_copies_do_not_make_or_end_a_template(spark):
     r = random.Random(5)
-    texts = [" ".join(r.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(25)]
-    page = "<html><body><div><p>Written by staff: {}</p></div></body></html>"
+    texts = [_words(r) for _ in range(25)]
+    page = "<html><body><div><h4>Written by staff</h4><p>{}</p></div></body></html>"
     rows = [(i, "http://host.example/", page.format(t)) for i, t in enumerate(texts)]
     rows += [(100, "http://host.example/", None), (101, "http://host.example/", ""), (102, "http://host.example/", " <!-- x -->")]
     rows += [(200 + i, "http://copies.example/", page.format("one text of its own")) for i in range(30)]
-    found = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    found = {i: x.text for i, x in _pages(spark, rows).items()}
     assert [found[i] for i in range(25)] == texts and [found[i] for i in (100, 101, 102)] == [""] * 3
-    assert {found[200 + i] for i in range(30)} == {"Written by staff: one text of its own"}
+    assert {found[200 + i] for i in range(30)} == {"Written by staff\none text of its own"}
+
+
+PLAIN = """<html><body><div><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div><h2>{0}</h2>{1}</div>{2}
+<div><ul><li>News<li>Terms of use of Site</ul></div></body></html>"""
+EXTRA = "<div class=box-{0}><h3>Our shop</h3><p>Mugs and more</p></div>"
+
+
+@pytest.mark.parametrize("n", [5, 30])
+def test_plain_hosts_lose_menus_optional_parts_and_foots(spark, n):
+    """No element names a role: repeated menu items, a part that a third of the pages have, an error
+    page and a cut page. A passage of two fifths of the pages and short blocks are article text."""
+    r = random.Random(6)
+    rows, want = [], {}
+    for i in range(n):
+        blocks = [f"Today we saw {i} birds near lake{i}.", _words(r, 20), *(["A passage that some pages of this host share."] if i % 5 < 2 else []), _words(r, 5)]
+        more = EXTRA.format(i) if n > 5 and i % 3 == 0 else ""
+        rows.append((i, "http://plain.example/a", PLAIN.format(f"Title {i}", "".join(f"<p>{b}</p>" for b in blocks), more)))
+        want[i] = "\n".join([f"Title {i}", *blocks])
+    rows.append((100, "http://plain.example/x", "<html><body>Server error"))
+    rows.append((101, "http://plain.example/y", PLAIN.format("Cut page", "<p>It ends he", "")[:130]))
+    found = _pages(spark, rows)
+    assert {i: found[i].text for i in want} == want
+    assert found[100].text == "Server error" and found[101].text.startswith("Cut page")
+    assert "Home" not in found[101].text
+
+
+def test_classes_equal_brute_force_vectors(spark):
+    """Vectors of each token over the different pages of a host, written out in full."""
+    r = random.Random(7)
+    html_of = lambda: "<body>" + "".join(f"<div><p>{r.choice('abcde')}</p></div>" for _ in range(r.randint(0, 4))) + "<ul><li>x<li>y</ul>"
+    rows = [("h%d" % r.randint(0, 2), html_of()) for _ in range(60)]
+    df = spark.createDataFrame(rows, "host string, html string").repartition(5)
+    got = {}
+    for x in classes(profiles(df), 3, 0.25).collect():
+        got.setdefault(x.host, set()).add((frozenset(x.tokens), x.most))
+    want = {}
+    for host in {h for h, _ in rows}:
+        pages = sorted({tuple(read(p)[0]) for h, p in rows if h == host})
+        vectors = {}
+        for t in {t for p in pages for t in p}:
+            vectors.setdefault(tuple(p.count(t) for p in pages), set()).add(t)
+        for v, ts in vectors.items():
+            on = sum(map(bool, v))
+            large = len(ts) >= 3 and sum(t % 2 == 0 for t in ts) >= 2
+            if on >= max(3, len(pages) / 4) and (2 * on > len(pages) or large):
+                want.setdefault(host, set()).add((frozenset(ts), 2 * on > len(pages)))
+    assert got == want and want
+
+
+def test_rounds_of_classes():
+    member, sizes = {2: 1, 4: 1, 6: 2, 8: 2, 9: 3}, {1: 2, 2: 2, 3: 1}
+    ordered = lambda page: {c: bool(k) for c, k in rounds(page, member, sizes).items()}
+    assert ordered([2, 6, 9, 8, 7, 4, 2, 4]) == {1: True, 2: True, 3: True}
+    assert ordered([2, 4, 4, 2]) == {1: False}
+    assert ordered([2, 6, 4, 8]) == {1: True, 2: False}
+    assert rounds([2, 4], member, sizes)[1] != rounds([4, 2], member, sizes)[1]
+
+
+def test_deep_and_long_pages_are_read_whole(spark):
+    deep = "<div>" * 20_000 + "x" + "</p>" * 20_000
+    long = "<p>" + "word &amp; " * 300_000 + "</p><p>end"
+    found = _pages(spark, [(1, "http://a.example", deep), (2, "http://a.example", long)])
+    assert found[1].text == "x" and found[2].text == "word & " * 299_999 + "word &\nend"
 
 
 def test_pages_whole(spark):

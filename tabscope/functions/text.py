@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +26,25 @@ def strip(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case with sharp s written as ss, as Unicode case folding does."""
-    return F.replace(F.lower(text), F.lit(chr(0xDF)), F.lit("ss"))
+    """Full Unicode case folding, as ``str.casefold``: every sigma is one letter, sharp s and ligatures are
+    written out. ASCII text, told by its length in bytes, takes the short way."""
+    single, one, several = _foldings()
+    by_letter = F.translate(text, single, one)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(by_letter, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return (
+        F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
+        .when(text.rlike("[" + "".join(several) + "]"), spelt)
+        .otherwise(by_letter)
+    )
+
+
+@lru_cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to one letter, those letters, and the letters that fold to several."""
+    folded = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
 
 
 def fold(text: Column) -> Column:

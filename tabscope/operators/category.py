@@ -56,7 +56,7 @@ def _expected_flag(expected: Mapping[str, Sequence], df: DataFrame) -> Column:
     flag = F.lit(True)
     textual = set(_textual(df, [f for f in expected if f in df.columns]))
     for f, values in expected.items():
-        keys = [text.fold(F.lit(str(v))) if f in textual else F.lit(str(v)) for v in values]
+        keys = [F.lit(str(v).strip().casefold() if f in textual else str(v)) for v in values]
         flag = F.when(F.col("feature") == f, F.col("normalized").isin(keys)).otherwise(flag)
     return flag
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import category, numeric
 from ..operators.numeric import BlankRule
 from .catalog import DIRTY, NUMBER, Tables, dirty_orders, query, r, rounded
@@ -196,6 +198,24 @@ def _(t: Tables):
     return rounded(category.category_frequencies(dirty_orders(t), ORDER_CATS, {"status": ["F", "O", "Z"]}))
 
 
+# Labels that differ by more than ASCII case: final sigma, a ligature, sharp s.
+_GREEK = """case c_custkey % 7 when 0 then 'ΟΔΟΣ' when 1 then ' οδος' when 2 then 'οδοσ' when 3 then 'oﬃce' when 4 then 'OFFICE' when 5 then 'Straße' else 'STRASSE' end"""
+_GREEK_FOLDED = "replace(replace(replace(lower(trim({0})), 'ς', 'σ'), 'ﬃ', 'ffi'), 'ß', 'ss')"
+
+
+@query(
+    "label_variants_unicode",
+    f"""with l as (select {_GREEK} as place, c_mktsegment from customer), c as (select place as category, count(*) as n from l group by all),
+          k as (select *, {_GREEK_FOLDED.format('category')} as normalized from c)
+        select 'place' as feature, normalized, category, n, count(*) over (partition by normalized) as variants,
+          cast(sum(n) over (partition by normalized) as bigint) as rows from k""",
+)
+def _(t: Tables):
+    places = t.customer.select(F.expr(_GREEK).alias("place"), "c_mktsegment")
+    found = category.label_variants(places, ["place", "c_mktsegment"])
+    return found.select("feature", "normalized", "category", "n", "variants", "rows")
+
+
 @query(
     "category_frequencies_high_cardinality",
     f"""with c as (select 'p_name' as feature, p_name as category, count(*) as n from part group by all

@@ -46,7 +46,8 @@ _CELLS = {
 
 def _fingerprint_sql(cells: dict[str, str], source: str) -> str:
     parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in cells.values())
-    return f"select count(*) as rows, cast(sum(('0x' || substr(md5(concat({parts})), 1, 15))::bigint) as varchar) as digest from {source}"
+    halves = [f"cast(sum(('0x' || substr(h, {at}, 16))::ubigint) as varchar)" for at in (1, 17)]
+    return f"select count(*) as rows, {halves[0]} || '-' || {halves[1]} as digest from (select md5(concat({parts})) as h from {source}) hashed"
 
 
 _ORDER_CELLS = {c: f"cast({c} as varchar)" for c in ("o_orderkey", "o_orderstatus", "cents")}
@@ -83,22 +84,27 @@ def _(t: Tables):
     path = t.scratch()
     data = t.orders.select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
     out = [
-        store.write_idempotent(data, path),
-        store.write_idempotent(data.repartition(3), path),
-        store.write_idempotent(data.where("o_orderstatus <> 'P'"), path, overwrite=True),
+        store.write_idempotent(data, path, method="portable"),
+        store.write_idempotent(data.repartition(3), path, method="portable"),
+        store.write_idempotent(data.where("o_orderstatus <> 'P'"), path, overwrite=True, method="portable"),
     ]
     return out[0].unionByName(out[1]).unionByName(out[2]).select("sequence", "rows", "digest", "status")
 
 
 @query(
     "file_inventory",
-    "select * from (values ('absent.parquet', 'missing', null::boolean, null::boolean), ('orders.parquet', 'available', true, true)) v(path, status, has_bytes, has_hash)",
+    """with f as (select 'status=' || o_orderstatus as path, string_agg(o_orderkey || chr(10), '' order by o_orderkey) as content from orders group by all)
+       select path, cast(length(content) as bigint) as bytes, sha256(content) as sha256, 'available' as status from f
+       union all select 'absent.txt', null, null, 'missing'""",
 )
 def _(t: Tables):
-    found = inventory.file_inventory(t.spark, t.folder, ["orders.parquet", "absent.parquet"])
-    return found.where(F.col("path").isin("orders.parquet", "absent.parquet")).select(
-        "path", "status", (F.col("bytes") > 0).alias("has_bytes"), F.col("sha256").rlike("^[0-9a-f]{64}$").alias("has_hash")
-    )
+    """One text file of order keys per status."""
+    path = t.scratch()
+    keys = t.orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("string").alias("value"), "o_orderkey")
+    keys.repartition("status").sortWithinPartitions("status", "o_orderkey").drop("o_orderkey").write.partitionBy("status").text(path)
+    # half of the sizes are streamed, half are read whole
+    found = inventory.file_inventory(t.spark, path, ["absent.txt"], whole_bytes=100_000)
+    return found.withColumn("path", F.regexp_replace("path", "/part-.*", ""))
 
 
 @query("content_fingerprint", _fingerprint_sql(_CELLS, "lineitem"))

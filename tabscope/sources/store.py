@@ -1,36 +1,79 @@
-"""Content-checked writes: version folders first, one manifest row last.
+"""Content-checked writes: a version folder first, one manifest file last.
 
-A version folder is named by the digest of what it holds.  Readers follow the
-newest manifest row only, so a write that dies half way is never visible and is
-simply repeated.
+Every write has a folder of its own.  What was written is read back and compared with what was asked
+for before a manifest file of the next number is created; creating never replaces a file, so of two writers
+one fails.  Readers follow the newest manifest row only: a write that dies half way is never visible and is
+simply repeated.  Creating without overwriting is one step on HDFS; a store without such a step
+needs one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as K
 from ..operators.prepare import split_checks
-from .identity import content_fingerprint
+from .identity import content_fingerprint, quick_fingerprint
 
-MANIFEST = "sequence bigint, version string, rows bigint, digest string, columns string, status string"
+MANIFEST = "sequence bigint, version string, rows bigint, digest string, columns string, status string, method string"
+#: ``quick`` for gates inside Spark, ``portable`` where another engine computes the digest too.
+DIGESTS = {"quick": quick_fingerprint, "portable": content_fingerprint}
 
 
 class DivergentContent(ValueError):
     """Stored content differs and overwriting was not requested."""
 
 
+class UnstableContent(ValueError):
+    """What was written is not what the digest was taken of: the plan gives other rows when it runs again."""
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed this number."""
+
+
 def _manifest_path(path: str) -> str:
     return f"{path.rstrip('/')}/manifest"
 
 
+def _place(spark: SparkSession, path: str):
+    """File system and path object."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    files, target = _place(spark, path)
+    return files.exists(target)
+
+
+def _last(spark: SparkSession, root: str) -> int:
+    """Highest number of a manifest file, also of one that a dying writer left empty."""
+    if not _exists(spark, _manifest_path(root)):
+        return 0
+    files, target = _place(spark, _manifest_path(root))
+    names = [x.getPath().getName() for x in files.listStatus(target)]
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+
+def _commit(spark: SparkSession, root: str, row: dict) -> None:
+    files, target = _place(spark, f"{_manifest_path(root)}/{row['sequence']:09d}.json")
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as e:
+        if files.exists(target):
+            raise ConcurrentWrite(f"{root}: number {row['sequence']} was committed by another writer") from e
+        raise
+    try:
+        out.write(bytearray(json.dumps(row).encode() + b"\n"))
+    finally:
+        out.close()
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -53,34 +96,33 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_idempotent(
-    df: DataFrame, path: str, *, overwrite: bool = False, partition_by: Sequence[str] = ()
+    df: DataFrame, path: str, *, overwrite: bool = False, partition_by: Sequence[str] = (), method: str = "quick"
 ) -> DataFrame:
     """Store ``df`` unless equal content is stored already; returns the status row.
 
-    Status is created, reused_equivalent or overwritten.  The table itself is
-    written by the executors; the driver sees one digest row.
+    Status is created, reused_equivalent or overwritten.  The table is written by the executors and read
+    back once; the driver sees digest rows.  Content stored with another ``method`` counts as different.
     """
     spark, root = df.sparkSession, path.rstrip("/")
-    new = content_fingerprint(df).collect()[0]
+    digest = DIGESTS[method]
+    old, last = _current(spark, root), _last(spark, root)
+    new = digest(df).collect()[0]
     columns = ";".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    old = _current(spark, root)
     if old is not None and (old["digest"], old["rows"], old["columns"]) == (new["digest"], new["rows"], columns):
-        status, sequence, version = "reused_equivalent", old["sequence"], old["version"]
-    elif old is not None and not overwrite:
+        row = (old["sequence"], old["version"], new["rows"], new["digest"], columns, "reused_equivalent", method)
+        return spark.createDataFrame([row], MANIFEST)
+    if old is not None and not overwrite:
         raise DivergentContent(f"{root}: stored digest {old['digest']}, new digest {new['digest']}")
-    else:
-        status = "created" if old is None else "overwritten"
-        sequence = 1 if old is None else old["sequence"] + 1
-        version = f"version={sequence}-{new['digest']}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{root}/{version}")
-    row = [(sequence, version, new["rows"], new["digest"], columns, status)]
-    out = spark.createDataFrame(row, MANIFEST)
-    if status != "reused_equivalent":
-        out.coalesce(1).write.mode("append").json(_manifest_path(root))
-    return out
+    version = f"version={last + 1}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(f"{root}/{version}")
+    back = digest(spark.read.schema(df.schema).parquet(f"{root}/{version}").select(*[f"`{c}`" for c in df.columns])).collect()[0]
+    if back != new:
+        raise UnstableContent(f"{root}: digest {new['digest']} was asked for, {back['digest']} was written")
+    row = (last + 1, version, new["rows"], new["digest"], columns, "created" if old is None else "overwritten", method)
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    _commit(spark, root, dict(zip(names, row)))
+    return spark.createDataFrame([row], MANIFEST)
 
 
 def verify_handoff(
@@ -102,7 +144,7 @@ def verify_handoff(
     declared = [c.split(":", 1)[0] for c in row["columns"].split(";")]
     lacking = [c for c in declared if c not in stored.columns]
     kept = stored.select(*[c for c in declared if c in stored.columns])
-    now = content_fingerprint(kept).withColumns({"_rows": F.lit(row["rows"]), "_digest": F.lit(row["digest"])})
+    now = DIGESTS[row["method"] or "portable"](kept).withColumns({"_rows": F.lit(row["rows"]), "_digest": F.lit(row["digest"])})
     scope = "handoff"
     content = K.checks_from(
         now,

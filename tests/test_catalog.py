@@ -10,6 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 ACTIVE = {
     "model_search", "final_fit", "model_round_trip", "describe_model", "score_batch", "preprocess_features",
     "selection_evidence", "write_idempotent", "verify_handoff", "write_splits", "read_csv_table", "final_evaluation",
+    "file_inventory",
 }
 
 

@@ -95,6 +95,66 @@ def test_write_idempotent_and_handoff(spark, tmp_path):
     assert {"class_present", "coverage_missing", "row_count_preserved"} <= {r["check"] for r in failed}
 
 
+def test_quick_fingerprint(spark):
+    df = spark.createDataFrame([(1, "a", 0.1, [1], {"m": 1}), (2, None, 2.0, None, None), (2, None, 2.0, None, None)], "k int, t string, v double, a array<int>, m map<string,int>")
+    digest = lambda d: identity.quick_fingerprint(d).collect()[0]
+    one = digest(df)
+    assert one.rows == 3 and one == digest(df.orderBy(F.desc("k")).repartition(3))
+    for other in (df.limit(2), df.fillna("", ["t"]), df.withColumn("v", F.col("v") + 1e-16 + 2e-16), df.where("k = 1"), df.limit(0)):
+        assert digest(other).digest != one.digest
+    pair = spark.createDataFrame([("x", None)], "a string, b string")
+    assert digest(pair) != digest(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wide = spark.range(3).select("id", *[F.lit(None).cast("int").alias(f"n{i}") for i in range(70)])
+    assert digest(wide) != digest(wide.fillna(0, ["n69"])) and digest(df.limit(0)).rows == 0
+    # a sum of whole hashes, so two halves of a table add up
+    assert digest(df) != digest(df.where("k = 2").union(df.where("k = 2")))
+
+
+def test_a_plan_that_changes_is_not_committed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(store.UnstableContent):
+        store.write_idempotent(spark.range(50).withColumn("u", F.expr("uuid()")).withColumn("at", F.expr("reflect('java.lang.System', 'nanoTime')")), path)
+    with pytest.raises(FileNotFoundError):
+        store.read_current(spark, path)
+    assert store.write_idempotent(spark.range(50), path).collect()[0].sequence == 1
+
+
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.write_idempotent(spark.range(5), path)
+    last = store._last
+
+    def meanwhile(session, root):
+        """Another writer commits after this one has looked."""
+        number = last(session, root)
+        monkeypatch.setattr(store, "_last", last)
+        store.write_idempotent(spark.range(6), path, overwrite=True)
+        return number
+
+    monkeypatch.setattr(store, "_last", meanwhile)
+    with pytest.raises(store.ConcurrentWrite):
+        store.write_idempotent(spark.range(7), path, overwrite=True)
+    assert store.read_current(spark, path).count() == 6 and store.manifest(spark, path).count() == 2
+    # a manifest file that a dying writer left empty is passed over
+    (tmp_path / "store" / "manifest" / "000000003.json").write_bytes(b"")
+    assert store.write_idempotent(spark.range(8), path, overwrite=True).collect()[0].sequence == 4
+    assert store.read_current(spark, path).count() == 8
+
+
+def test_handoff_refuses_changed_and_lost_content(spark, tmp_path):
+    path = str(tmp_path / "store")
+    source = people(spark, 200, 60)
+    cut = prepare.stratified_split(source, ["k"], "y", ["No", "Yes"])
+    version = store.write_idempotent(cut, path).collect()[0].version
+    failed = lambda: {r["check"] for r in store.verify_handoff(spark, path, source, ["k"], "y", ["No", "Yes"]).where("not passed").collect()}
+    assert not failed()
+    other = cut.withColumn("split", F.when(F.col("split") == "train", "test").otherwise(F.col("split")))
+    other.write.mode("overwrite").parquet(f"{path}/{version}")
+    assert "stored_digest_matches" in failed()
+    cut.limit(150).write.mode("overwrite").parquet(f"{path}/{version}")
+    assert {"stored_rows_match", "stored_digest_matches"} <= failed()
+
+
 def test_csv_round_trip_and_strict_reads(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", 0.1 + 0.2), (2, 'q"', -1e-9)], "k int, t string, v double")
     path = str(tmp_path / "csv")
@@ -122,3 +182,29 @@ def test_file_inventory(spark, tmp_path):
     assert set(rows) == {"sub/a.txt", "b.txt"} and rows["b.txt"].status == "missing"
     assert rows["sub/a.txt"].sha256 == hashlib.sha256(b"hello").hexdigest() and rows["sub/a.txt"].bytes == 5
     assert os.path.exists(tmp_path / ".hidden")
+
+
+def test_large_files_are_streamed(spark, tmp_path):
+    """Sizes around a read and a file that Spark's binary reader could not hold."""
+    sizes = [0, 1, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 3_000_000]
+    for n in sizes:
+        (tmp_path / f"f {n}%.bin").write_bytes(bytes(i % 251 for i in range(n)))
+    with open(tmp_path / "holes.bin", "wb") as f:
+        f.truncate(2_200_000_000)
+    rows = {r.path: r for r in inventory.file_inventory(spark, f"file:{tmp_path}", whole_bytes=100).collect()}
+    assert len(rows) == len(sizes) + 1 and rows["holes.bin"].bytes == 2_200_000_000
+    zeros, block = hashlib.sha256(), bytes(1_000_000)
+    for _ in range(2200):
+        zeros.update(block)
+    assert rows["holes.bin"].sha256 == zeros.hexdigest()
+    for n in sizes:
+        assert rows[f"f {n}%.bin"].sha256 == hashlib.sha256(bytes(i % 251 for i in range(n))).hexdigest()
+
+
+def test_inventory_of_tables_equals_local_hashes(spark):
+    rows = inventory.file_inventory(spark, "/root/testdata/sf0.001").collect()
+    assert [r.path for r in rows] == sorted(r.path for r in rows) and len(rows) > 10
+    for r in rows:
+        with open(f"/root/testdata/sf0.001/{r.path}", "rb") as f:
+            content = f.read()
+        assert (r.bytes, r.sha256) == (len(content), hashlib.sha256(content).hexdigest())

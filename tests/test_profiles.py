@@ -29,6 +29,23 @@ def test_fold_handles_sharp_s_and_wide_spaces(spark):
     assert df.select(text.fold(F.col("t"))).collect()[0][0] == "strasse"
 
 
+def test_fold_case_equals_casefold(spark):
+    """Every letter that case folding changes, alone and within a word, and letters beside them."""
+    changed = [c for c in map(chr, range(0x110000)) if c.casefold() != c]
+    words = changed + ["x" + c + "Y" for c in changed] + ["ΟΔΟΣ", "οδος", "oﬃce", "İstanbul", "", "plain TEXT", "\U00010400\U0001f600Ω", "été", None]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = {r.t: r.f for r in df.select("t", text.fold_case(F.col("t")).alias("f")).collect()}
+    assert got == {w: None if w is None else w.casefold() for w in words}
+
+
+def test_declared_and_observed_labels_fold_alike(spark):
+    df = spark.createDataFrame([("οδος",), ("ΟΔΟΣ",), ("OFFICE",)], "place string")
+    declared = {"place": ["ΟΔΟΣ", "oﬃce"]}
+    assert category.domain_violations(df, ["place"], declared).count() == 0
+    row = category.category_summary(df, ["place"], declared).collect()[0]
+    assert "expected" not in row.status and "Unexpected" not in row.status and "Inconsistent labels" in row.status
+
+
 def test_stats_of_one_to_five(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 6)], "value double")
     row = one(numeric.numeric_stats(df, ["value"]))

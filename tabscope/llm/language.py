@@ -164,6 +164,10 @@ def mixtures(raw: list[bytes], langs: list[str], log_p: np.ndarray, margin: floa
     return share_out, score
 
 
+#: Bytes of text whose words are weighed at a time: each distinct word of a text takes a number per language, several times.
+IDENTIFY_BYTES = 1 << 20
+
+
 def has_letter(text: bytes) -> bool:
     return text.translate(LETTERS, bytes(range(128, 256))).strip() != b"" or any(map(str.isalpha, text.decode()))
 
@@ -175,12 +179,16 @@ def identify(
     """Per row: id, columns named in ``keep``, ``lang_pred``, ``score`` and ``mixture`` (language to proportion)."""
     shared = df.sparkSession.sparkContext.broadcast((langs, log_p))
     kept = [id_col, *(keep or [])]
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text"))
-    fields = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(kept)))
+    # the text goes to the workers once, also where it is kept
+    names_of = ["text" if c == text_col else f"k{i}" for i, c in enumerate(kept)]
+    sent = {"text": text_col, **dict(zip(names_of, kept))}
+    rows = df.select(*[F.col(c).alias(n) for n, c in sent.items()])
+    outgoing = [n for n in sent if n in names_of]
+    fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in outgoing)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", IDENTIFY_BYTES):
             raw = raw_texts(step, "text")
             share, score = mixtures(raw, names, table, margin, rounds)
             known = [bool(s.any()) and has_letter(t) for s, t in zip(share, raw)]
@@ -188,16 +196,18 @@ def identify(
             mixture = [[(names[j], float(s[j])) for j in np.flatnonzero(s)] if k else [] for s, k in zip(share, known)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *step.columns[: len(kept)],
+                    *[step.column(n) for n in outgoing],
                     pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                     pa.array(np.where(known, np.clip(score, 0, 1), 0.0)),
                     pa.array(mixture, pa.map_(pa.string(), pa.float64())),
                 ],
-                [*[f"k{i}" for i in range(len(kept))], "lang_pred", "score", "mixture"],
+                [*outgoing, "lang_pred", "score", "mixture"],
             )
+        # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     found = rows.mapInArrow(predict, f"{fields}, lang_pred string, score double, mixture map<string, double>")
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score", "mixture")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names_of, kept)], "lang_pred", "score", "mixture")
 
 
 def fit(df: DataFrame, training: Column, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:

@@ -41,7 +41,7 @@ def test_fold_case_equals_casefold(spark):
 def test_declared_and_observed_labels_fold_alike(spark):
     df = spark.createDataFrame([("οδος",), ("ΟΔΟΣ",), ("OFFICE",)], "place string")
     declared = {"place": ["ΟΔΟΣ", "oﬃce"]}
-    assert category.domain_violations(df, ["place"], declared).count() == 0
+    assert category.domain_violations(df, declared).count() == 0
     row = category.category_summary(df, ["place"], declared).collect()[0]
     assert "expected" not in row.status and "Unexpected" not in row.status and "Inconsistent labels" in row.status
 

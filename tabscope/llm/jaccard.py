@@ -5,10 +5,12 @@ Equal sets are one class; only classes are joined.
 
 *Regions.* Nearly all documents are at distance 1 from any given pivot, where distances say
 nothing, so first pivots are elected where documents meet. Each set is ordered by fixed-size
-sketches of shingle and word frequencies, rare ones first; two linked sets must share a shingle within
-their first ``n - ceil(threshold n) + 1`` ones. The classes that share such a shingle elect the
-one with the smallest key as pivot and enter its region: every link is between a pivot and a
-member, or inside a region.
+sketches of shingle and word frequencies, rare ones first; two linked sets must share ``k`` shingles
+within their first ``n - ceil(threshold n) + k`` ones (``k`` up to ``SHARED``, fewer for small sets). So
+a class with fewer shingles than that in common with all others together has no link, and leaves
+before any text is read again: one common shingle is chance, many are not. The classes left that
+share a shingle elect the one with the smallest key as pivot and enter its region: every link is
+between a pivot and a member, or inside a region.
 
 *Recursion.* Members' distances to the pivot are measured. If all are linked to it the region is
 done, as they are one component. Else by the triangle inequality linked members closer to the
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, fixed_bitmap, grams, hashed, raw_texts, row_key, source, steps, stored, word_hashes
@@ -47,6 +49,8 @@ from .components import components
 #: Counters of the frequency sketch, of shingles and of words, and bits of the bitmap of texts to fetch.
 SKETCH, WORD_SKETCH = 1 << 22, 1 << 20
 SLOTS = 320
+#: Shingles that prefixes of linked sets must share, where the sets are large enough.
+SHARED = 16
 FETCH_BITS = 1 << 23
 #: Members and shingles of a region that one task finishes.
 FITS, FITS_SHINGLES = 2000, 2_000_000
@@ -96,8 +100,18 @@ def class_key(found: np.ndarray) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    """Shingles of which two linked sets share one: n - ceil(percent n / 100) + 1."""
-    return n - -(-percent * n // 100) + 1
+    """n - c + k shingles, c = ceil(percent n / 100), k = min(SHARED, c).
+
+    Linked sets have at least c in common; the j-th of these in the order has c - j behind it, so it
+    is among the first n - c + j. The first k are in the prefix."""
+    least = -(-percent * n // 100)
+    return n - least + min(SHARED, least)
+
+
+def must_share(n: Column, percent: int) -> Column:
+    """Prefix shingles that a set of ``n`` has in common with any set linked to it, which has ceil(percent n / 100) or more."""
+    least = F.ceil(n * percent / 100)
+    return F.least(F.lit(SHARED), F.ceil(least * percent / 100))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -179,6 +193,14 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> D
     return docs.mapInArrow(scan, "shingle long, class long").where("shingle is not null and class is not null")
 
 
+def _sifted(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, class) of shingles that several classes have, without classes that share too few to be linked."""
+    several = pairs.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+    rows = stored(pairs.join(several, "shingle").select("shingle", "class"))
+    found = rows.groupBy("class").agg(F.count("*").alias("k")).join(sizes, "class").where(F.col("k") >= must_share(F.col("n"), percent))
+    return stored(rows.join(found.select("class"), "class", "leftsemi"))
+
+
 def _fetch(docs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
     """Compressed text and set size of the classes in ``rows`` (class, row key of one document)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(fixed_bitmap(rows, "row", FETCH_BITS)))
@@ -277,10 +299,9 @@ class _Join:
         size = regions.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
         return regions.join(size.where("members > 1"), "region")
 
-    def open(self, regions: DataFrame, links: DataFrame) -> DataFrame:
+    def open(self, regions: DataFrame, roots: DataFrame) -> DataFrame:
         """Regions of more than one component, with each member's component, ``minor`` for
         those outside the largest one, and the region's members, shingles and minor members."""
-        roots = components(links)
         rows = regions.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         rows = stored(rows.select("region", "class", "n", "root"))
         parts = rows.groupBy("region", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
@@ -396,9 +417,10 @@ def jaccard_components(
     if classes.where("low <> high").limit(1).count():
         raise ValueError("two different sets have the same 64-bit key")
     pairs = _prefixes(docs, _sketch(profile), gram, percent).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").groupBy("shingle", "class").agg(F.lit(1).alias("one"))
-    elected = pairs.groupBy("shingle").agg(F.min("class").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("shingle", "pivot", "k")
+    met = _sifted(pairs, classes.select("class", "n"), percent)
+    elected = met.groupBy("shingle").agg(F.min("class").alias("pivot"), F.count("*").alias("k")).where("k > 1")
     # one row per member and pivot, however many shingles they share
-    star = pairs.join(elected, "shingle").where("class <> pivot").groupBy("class", F.col("pivot").alias("region")).agg((F.max("k") > 2).alias("meets"))
+    star = met.join(elected, "shingle").where("class <> pivot").groupBy("class", F.col("pivot").alias("region")).agg((F.max("k") > 2).alias("meets"))
     # where no third class has the shingle only the two can be linked, if their sizes allow it
     sizes = classes.select("class", "n")
     star = star.join(sizes, "class").join(sizes.select(F.col("class").alias("region"), F.col("n").alias("m")), "region")
@@ -411,18 +433,21 @@ def jaccard_components(
     members = stored(members.withColumn("parts", join.parts()).select("region", "class", "n", "parts"))
     measured = stored(join.measured(members.where("class <> region"), members.where("class = region").select("region", "class", "parts")))
     edges = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-    met = measured.join(star.where("meets").select("class", "region"), ["class", "region"], "leftsemi")
-    regions = join.open(join.windows(met), edges)
+    inside = measured.join(star.where("meets").select("class", "region"), ["class", "region"], "leftsemi")
+    roots = components(edges)
+    regions = join.open(join.windows(inside), roots)
     fit = (F.col("members") <= fits) & (F.col("shingles") <= fits_shingles) | (F.col("members") <= 2)
     while regions.limit(1).count():
-        edges = stored(edges.unionAll(join.finished(regions.where(fit))).distinct())
+        links, rest = join.finished(regions.where(fit)), None
         large = regions.where(~fit)
-        if not large.limit(1).count():
+        if large.limit(1).count():
+            more, rest = join.split(large)
+            links = links.unionAll(more)
+        # components found so far are stars
+        roots = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if rest is None:
             break
-        more, rest = join.split(large)
-        edges = edges.unionAll(more)
-        regions = join.open(rest.distinct(), edges)
-    roots = components(edges)
+        regions = join.open(rest.distinct(), roots)
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "root").select("class", "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabscope.llm.components import components
 from tabscope.llm.decontaminate import contamination, words_of
-from tabscope.llm.jaccard import jaccard_components
+from tabscope.llm.jaccard import jaccard_components, must_share, prefix_size
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -143,6 +143,18 @@ def test_regions_split_and_stay_exact(spark):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in rows) == brute_components(docs)
 
 
+def test_linked_sets_share_what_sifting_asks_for(spark):
+    """Sets in one order, linked at the threshold, whose own shingles all come first: the worst case."""
+    need = {r.n: r.k for r in spark.range(1, 200).withColumnRenamed("id", "n").withColumn("k", must_share(F.col("n"), 75)).collect()}
+    for n in range(1, 200):
+        for m in range(n, 200):
+            common = -(-75 * (n + m) // 175)
+            if common > n:
+                break
+            in_both = min(prefix_size(n, 75) - (n - common), prefix_size(m, 75) - (m - common), common)
+            assert in_both >= max(need[n], need[m]) >= 1
+
+
 def test_empty_join(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")

@@ -22,6 +22,9 @@ DETERMINISTIC = 0.99
 
 PAIR = ["feature_a", "feature_b"]
 
+#: Columns of a block whose pairs with another block are one aggregate.
+TILE = 8
+
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     return {c: text.to_number(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
@@ -58,25 +61,64 @@ def aligned(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """r of every column pair over its complete rows: one scan, one-row shuffle."""
-    v = _numbers(df, columns)
-    parts, entries = [F.count("*").alias("rows")], []
-    for i, (a, b) in enumerate(combinations(columns, 2)):
-        parts += [
-            F.count_if(v[a].isNotNull() & v[b].isNotNull()).alias(f"n_{i}"),
-            pearson(v[a], v[b]).alias(f"r_{i}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(a).alias("feature_a"),
-                F.lit(b).alias("feature_b"),
-                F.col(f"n_{i}").alias("valid_rows"),
-                (F.col("rows") - F.col(f"n_{i}")).alias("missing_rows"),
-                F.col(f"r_{i}").alias("pearson"),
-                F.abs(F.col(f"r_{i}")).alias("abs_pearson"),
-            )
+    """r of every column pair over its complete rows, in one scan.
+
+    Up to ``TILE`` columns are one aggregate with a one-row shuffle.  More are cut in blocks of
+    ``TILE``: a row meets every two blocks, and all pairs of two blocks are one aggregate grouped
+    by tile, so the plan does not grow with the pairs and the shuffle has one row per task and tile.
+    """
+    values = list(_numbers(df, columns).values())
+    if len(columns) > TILE:
+        return _tiled_pearson(df, list(columns), values)
+    pairs = list(combinations(range(len(columns)), 2))
+    measured = df.agg(F.count("*").alias("rows"), *_pearson_aggregates(values, values, pairs))
+    names = F.array(*[F.lit(c) for c in columns])
+    return measured.select(F.inline(F.array(*_pearson_entries(pairs, lambda i: names[i], lambda j: names[j]))))
+
+
+def _pearson_aggregates(xs: Sequence[Column], ys: Sequence[Column], pairs: Sequence[tuple[int, int]]) -> list[Column]:
+    parts = []
+    for i, j in pairs:
+        parts.append(F.count_if(xs[i].isNotNull() & ys[j].isNotNull()).alias(f"n_{i}_{j}"))
+        parts.append(pearson(xs[i], ys[j]).alias(f"r_{i}_{j}"))
+    return parts
+
+
+def _pearson_entries(pairs: Sequence[tuple[int, int]], name_a, name_b) -> list[Column]:
+    return [
+        F.struct(
+            name_a(i).alias(PAIR[0]),
+            name_b(j).alias(PAIR[1]),
+            F.col(f"n_{i}_{j}").alias("valid_rows"),
+            (F.col("rows") - F.col(f"n_{i}_{j}")).alias("missing_rows"),
+            F.col(f"r_{i}_{j}").alias("pearson"),
+            F.abs(F.col(f"r_{i}_{j}")).alias("abs_pearson"),
         )
-    return df.agg(*parts).select(F.inline(F.array(*entries)))
+        for i, j in pairs
+    ]
+
+
+def _tiled_pearson(df: DataFrame, columns: list[str], values: list[Column]) -> DataFrame:
+    """One group per pair of blocks; slots past the last column stay null and are left out."""
+    blocks = -(-len(columns) // TILE)
+    numbers = df.select(F.array(*[v.cast("double") for v in values]).alias("v"), F.lit(1).alias("real"))
+    # one row of nulls for every tile, so that an empty table has its pairs too
+    none = df.sparkSession.range(1).select(F.array_repeat(F.lit(None).cast("double"), len(columns)).alias("v"), F.lit(0).alias("real"))
+    tiles = F.expr(
+        f"flatten(transform(sequence(0, {blocks - 1}), a -> transform(sequence(a, {blocks - 1}), b -> struct(a * {TILE} as a, b * {TILE} as b))))"
+    )
+    met = numbers.unionAll(none).select("v", "real", F.inline(tiles))
+    slots = range(TILE)
+    cut = met.select(
+        "a", "b", "real", *[F.get("v", F.col("a") + i).alias(f"x_{i}") for i in slots], *[F.get("v", F.col("b") + i).alias(f"y_{i}") for i in slots]
+    )
+    pairs = [(i, j) for i in slots for j in slots]
+    xs, ys = [F.col(f"x_{i}") for i in slots], [F.col(f"y_{i}") for i in slots]
+    measured = cut.groupBy("a", "b").agg(F.sum("real").alias("rows"), *_pearson_aggregates(xs, ys, pairs))
+    entries = _pearson_entries(pairs, lambda i: F.col("a") + i, lambda j: F.col("b") + j)
+    long = measured.select(F.inline(F.array(*entries))).where(f"{PAIR[0]} < {PAIR[1]} and {PAIR[1]} < {len(columns)}")
+    names = F.array(*[F.lit(c) for c in columns])
+    return long.withColumns({c: F.get(names, F.col(c)) for c in PAIR})
 
 
 def rank_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

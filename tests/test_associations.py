@@ -1,6 +1,9 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.operators import effects, leakage, relations
 from tabscope.operators.effects import BinaryTarget
@@ -28,6 +31,33 @@ def test_rank_correlation_matches_pandas_with_ties_and_gaps(spark):
         assert r.rank_r == pytest.approx(want, abs=1e-12) and r.valid_rows == len(both)
 
 
+def test_pearson_in_tiles_equals_pandas(spark):
+    rng = np.random.default_rng(3)
+    names = [f"c{i}" for i in range(19)]
+    frame = pd.DataFrame(rng.normal(size=(120, 19)), columns=names)
+    frame["c4"], frame["c18"] = 1.5, frame["c0"] * 2 + frame["c9"]
+    frame.loc[::4, "c7"] = np.nan
+    frame["c12"] = np.nan
+    df = spark.createDataFrame(frame).repartition(3)
+    rows = relations.pearson_pairs(df, names).collect()
+    assert sorted((names.index(r.feature_a), names.index(r.feature_b)) for r in rows) == list(itertools.combinations(range(19), 2))
+    for r in rows:
+        both = frame[[r.feature_a, r.feature_b]].dropna()
+        assert (r.valid_rows, r.missing_rows) == (len(both), 120 - len(both))
+        if {"c4", "c12"} & {r.feature_a, r.feature_b}:
+            assert r.pearson is None
+        else:
+            assert r.pearson == pytest.approx(both.iloc[:, 0].corr(both.iloc[:, 1]), abs=1e-12)
+            assert r.abs_pearson == abs(r.pearson)
+    empty = relations.pearson_pairs(df.limit(0), names).collect()
+    assert len(empty) == 171 and all((r.valid_rows, r.missing_rows, r.pearson) == (0, 0, None) for r in empty)
+
+
+def test_pearson_of_five_hundred_columns(spark):
+    wide = spark.range(40).select(*[F.rand(i).alias(f"c{i}") for i in range(500)])
+    assert relations.pearson_pairs(wide, wide.columns).where("valid_rows = 40 and pearson is not null").count() == 124_750
+
+
 @pytest.mark.parametrize(
     "rows, v, u",
     [

@@ -22,8 +22,10 @@ DETERMINISTIC = 0.99
 
 PAIR = ["feature_a", "feature_b"]
 
-#: Columns of a block whose pairs with another block are one aggregate.
-TILE = 8
+#: Columns of a block whose pairs with another block are one aggregate, and columns that need no
+#: blocks: aggregates of more than about 100 buffer fields (11 a pair) leave generated code.
+TILE = 2
+UNTILED = 4
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
@@ -63,12 +65,12 @@ def aligned(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """r of every column pair over its complete rows, in one scan.
 
-    Up to ``TILE`` columns are one aggregate with a one-row shuffle.  More are cut in blocks of
+    Up to ``UNTILED`` columns are one aggregate with a one-row shuffle.  More are cut in blocks of
     ``TILE``: a row meets every two blocks, and all pairs of two blocks are one aggregate grouped
     by tile, so the plan does not grow with the pairs and the shuffle has one row per task and tile.
     """
     values = list(_numbers(df, columns).values())
-    if len(columns) > TILE:
+    if len(columns) > UNTILED:
         return _tiled_pearson(df, list(columns), values)
     pairs = list(combinations(range(len(columns)), 2))
     measured = df.agg(F.count("*").alias("rows"), *_pearson_aggregates(values, values, pairs))

@@ -48,6 +48,29 @@ def _(t: Tables):
     return rounded(relations.pearson_pairs(_sparse(t), _SPARSE_COLS))
 
 
+# more columns than one aggregate takes
+_WIDE = {
+    **{c: c for c in NUMBERS},
+    "line": "cast(l_linenumber as double)",
+    "part": "cast(l_partkey as double)",
+    "supplier": "cast(l_suppkey as double)",
+    "net": "l_extendedprice * (1 - l_discount)",
+    "unit": "l_extendedprice / l_quantity",
+    "some_tax": "case when l_orderkey % 3 <> 0 then l_tax end",
+    "one": "cast(1.0 as double)",
+}
+_WIDE_SELECT = ", ".join(f"{e} as {c}" for c, e in _WIDE.items())
+
+
+@query(
+    "pearson_pairs_wide",
+    f"with wide as (select {_WIDE_SELECT} from lineitem) "
+    + " union all ".join(_pearson_sql(a, b, a, b, "wide") for a, b in combinations(_WIDE, 2)),
+)
+def _(t: Tables):
+    return rounded(relations.pearson_pairs(t.lineitem.selectExpr(*[f"{e} as {c}" for c, e in _WIDE.items()]), list(_WIDE)))
+
+
 def _rank_sql(a: str, b: str, source: str) -> str:
     return f"""(with p as (select {a} as x, {b} as y from {source} where {a} is not null and {b} is not null),
       k as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx,

@@ -12,9 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scale import one_row
 
+#: Types of bounded width.
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def row_digest(columns: Sequence[str]) -> Column:
     """Injective digest of the listed columns; null differs from every value."""
@@ -25,6 +29,25 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def compact_key(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Columns ``_k0``... that are equal where the listed ones are, in at most about 32 bytes each.
+
+    Up to four columns stand for themselves, but texts over 31 bytes for their 32-byte digest;
+    more columns are one binary digest.  Nulls group together.  Bare numbers compare as in GROUP BY
+    (-0.0 equals 0.0).
+    """
+    if len(columns) > 4:
+        return [F.unhex(row_digest(columns)).alias("_k0")]
+    out = []
+    for i, c in enumerate(columns):
+        key = F.col(f"`{c}`")
+        if not isinstance(df.select(key).schema[0].dataType, FIXED):
+            text = key.cast("string")
+            key = F.when(F.octet_length(text) > 31, F.unhex(F.sha2(text, 256))).otherwise(text.cast("binary"))
+        out.append(key.alias(f"_k{i}"))
+    return out
+
+
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Distinct rows that occur more than once, with their count."""
     return df.groupBy(*df.columns).agg(F.count("*").alias("group_size")).where(F.col("group_size") > 1)
@@ -99,33 +122,54 @@ def profile_target_values(df: DataFrame, features: Sequence[str], identifiers: S
 def duplicate_summary(
     df: DataFrame, identifiers: Sequence[str], features: Sequence[str], target: str
 ) -> DataFrame:
-    """Six group and row counts, one row each."""
-    exact = (
-        df.select(row_digest(df.columns).alias("group_id"))
-        .groupBy("group_id")
-        .agg(F.count("*").alias("group_size"))
+    """Six group and row counts, one row each.
+
+    Identical rows are identical records of one identifier, so both come from the same
+    counts.  Whether a profile's targets agree is seen from the least and the greatest one.
+    """
+    others = [c for c in df.columns if c not in identifiers]
+    record = compact_key(df, others)
+    per_record = df.select(*identifiers, *record).groupBy(*identifiers, *[f"_k{i}" for i in range(len(record))]).agg(F.count("*").alias("n"))
+    ids = (
+        per_record.groupBy(*identifiers)
+        .agg(
+            F.sum("n").alias("group_size"),
+            (F.count("*") > 1).alias("conflict"),
+            F.count_if(F.col("n") > 1).alias("twins"),
+            F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("twin_rows"),
+        )
         .where(F.col("group_size") > 1)
     )
-    ids = identifier_conflicts(df, identifiers)
-    profiles = repeated_profiles(df, features, identifiers, target)
+    profile = compact_key(df, features)
+    owner = compact_key(df, identifiers)
+    names = [f"_k{i}" for i in range(len(profile))]
+    owners = [f"_o{i}" for i in range(len(owner))]
+    shown = F.col(f"`{target}`").cast("string")
+    shown = F.when(F.octet_length(shown) > 31, F.sha2(shown, 256)).otherwise(shown)
+    tag = F.coalesce(F.concat(F.lit("="), shown), F.lit("~")).alias("_target")
+    per_owner = (
+        df.select(*profile, *[c.alias(o) for c, o in zip(owner, owners)], tag)
+        .groupBy(*names, *owners)
+        .agg(F.count("*").alias("n"), F.min("_target").alias("low"), F.max("_target").alias("high"))
+    )
+    profiles = (
+        per_owner.groupBy(*names)
+        .agg(F.sum("n").alias("group_size"), F.count("*").alias("owners"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where(F.col("owners") > 1)
+    )
 
     def both(mask: Column, name: str) -> list[Column]:
         rows = F.coalesce(F.sum(F.when(mask, F.col("group_size"))), F.lit(0))
         return [F.count_if(mask).alias(f"{name}_groups"), rows.alias(f"{name}_rows")]
 
-    every = F.lit(True)
-    e = one_row(exact.agg(*both(every, "a")))
-    i = one_row(ids.agg(*both(every, "a"), *both(F.col("classification") == "Conflicting records", "b")))
-    p = one_row(
-        profiles.agg(
-            *both(every, "a"),
-            *both(F.col("classification") == "Same target", "b"),
-            *both(F.col("classification") == "Target disagreement", "c"),
-        )
-    )
-    packed = df.sparkSession.range(1).select(e.alias("e"), i.alias("i"), p.alias("p"))
+    every, same = F.lit(True), F.col("low") == F.col("high")
+    zero = F.lit(0).cast("bigint")
+    twins = [F.coalesce(F.sum("twins"), zero).alias("t_groups"), F.coalesce(F.sum("twin_rows"), zero).alias("t_rows")]
+    i = one_row(ids.agg(*both(every, "a"), *both(F.col("conflict"), "b"), *twins))
+    p = one_row(profiles.agg(*both(every, "a"), *both(same, "b"), *both(~same, "c")))
+    packed = df.sparkSession.range(1).select(i.alias("i"), p.alias("p"))
     lines = [
-        ("Exact duplicate records", "e.a"),
+        ("Exact duplicate records", "i.t"),
         ("Duplicate identifiers", "i.a"),
         ("Conflicting duplicate identifiers", "i.b"),
         ("Repeated feature profiles", "p.a"),

@@ -103,6 +103,26 @@ def test_duplicates_group_nulls(spark):
     assert summary["Repeated feature profiles"] == (2, 5) and summary["Repeated profiles with the same target"] == (1, 2)
 
 
+def test_duplicate_summary_counts_and_shuffles_short_keys(spark):
+    long = "w" * 40
+    rows = [(1, 1, 0.5, "x", "N"), (1, 1, 0.5, "x", "N"), (1, 1, 0.5, long, "N"), (2, None, 0.5, long, None), (3, None, 0.5, long, None), (4, 2, 0.5, "", None), (5, 2, 0.5, None, "N")]
+    df = spark.createDataFrame(rows, "id int, n int, q double, f string, y string")
+    for extra in ({}, {"a": F.lit(1), "b": F.lit("z")}):  # more than four columns become one digest
+        wide = df.withColumns(extra) if extra else df
+        features = ["n", "q", "f", *extra]
+        summary = {r.metric: (r.group_count, r.row_count) for r in duplicates.duplicate_summary(wide, ["id"], features, "y").collect()}
+        assert summary == {
+            "Exact duplicate records": (1, 2), "Duplicate identifiers": (1, 3), "Conflicting duplicate identifiers": (1, 3), "Repeated feature profiles": (1, 2),
+            "Repeated profiles with the same target": (1, 2), "Repeated profiles with target disagreement": (0, 0),
+        }
+    mixed = [(1, 1, "a"), (2, 1, "b"), (3, 2, None), (4, 2, "~"), (5, 3, "v" * 50), (6, 3, "v" * 50)]
+    got = duplicates.duplicate_summary(spark.createDataFrame(mixed, "id int, n int, y string"), ["id"], ["n"], "y").collect()
+    assert [(r.group_count, r.row_count) for r in got] == [(0, 0), (0, 0), (0, 0), (3, 6), (1, 2), (2, 4)]
+    # two aggregates of the rows, neither with a digest of numbers or an expanded row
+    plan = duplicates.duplicate_summary(df, ["id"], ["n", "q"], "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "concat(" not in plan.replace("concat(=", "")
+
+
 def test_row_digest_is_injective_on_borders(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "abc"), ("~", None)], "x string, y string")
     assert df.select(duplicates.row_digest(["x", "y"])).distinct().count() == 4

@@ -22,6 +22,8 @@ nearest pivot (distance under ``1 - d``, ``d`` the link distance) and is replica
 pivots at most ``2 d`` further away; members at ``1 - 2 d`` or more from all pivots are a region
 of their own. Two linked documents always meet: see ``split``. Pivots have been compared with
 everything in their region and leave it, and a region that has become one component is done.
+Where members lie too close together for regions to part them, as near copies of one text that are
+not linked do, the region is dealt to blocks, and every two blocks are a region that fits a task.
 
 Results are links between classes (a star or path per component, not all pairs) and, by
 connected components, a component for each document.
@@ -49,11 +51,13 @@ from .components import components
 #: Counters of the frequency sketch, of shingles and of words, and bits of the bitmap of texts to fetch.
 SKETCH, WORD_SKETCH = 1 << 22, 1 << 20
 SLOTS = 320
+#: Bytes of text that a task reads at a time.
+STEP = 1 << 20
 #: Shingles that prefixes of linked sets must share, where the sets are large enough.
 SHARED = 16
 FETCH_BITS = 1 << 23
-#: Members and shingles of a region that one task finishes.
-FITS, FITS_SHINGLES = 2000, 2_000_000
+#: Members, shingles and comparisons (members outside the largest component times shingles) of a region that one task finishes.
+FITS, FITS_SHINGLES, FITS_WORK = 20_000, 2_000_000, 1_000_000_000
 #: Members and shingles of a part that is measured against a region's pivots.
 PART, PART_SHINGLES = 128, 1_000_000
 ROOM = 1e-9
@@ -124,13 +128,13 @@ def _profile(docs: DataFrame, kind: str, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counters, id_type = word_hashes(), np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
         names = ["id", "n", "class", "check", "row", "slot", "counters"]
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             id_type = step.column(0).type
             words = words_of(raw, memo)
             found = [np.unique(x) for x in shingles(words, gram)]
             for part, x, size in ((counters[:SKETCH], found, SKETCH), (counters[SKETCH:], words, WORD_SKETCH)):
-                part += np.bincount((np.concatenate(x) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(part, (np.concatenate(x) & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
             n = len(raw)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,7 +178,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, counters = word_hashes(), set(), shared.value
         rarity = (8 * np.log2(np.maximum(counters[SKETCH:], 1))).astype(np.int64)
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             found, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             words = words_of(raw_texts(step, "text"), memo)
             for own, text in zip(shingles(words, gram), words):
@@ -207,7 +211,7 @@ def _fetch(docs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bits = word_hashes(), np.unpackbits(shared.value)
-        for step in steps(batches, "text"):
+        for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             key = np.array([int.from_bytes(row_key(i, t)[:8], "big") >> 1 for i, t in zip(ids, raw)], np.int64)
             own = np.flatnonzero(bits[key & (FETCH_BITS - 1)])
@@ -379,18 +383,19 @@ class _Join:
         nearest pivot. If h(x) is 1 - d or more, h(y) is 1 - 2 d or more: both are in the far
         region. Else the pivot p nearest to x is at most h(x) + d < 1 from y, hence measured, and
         at most h(y) + 2 d: y is sent to p's region too. A region whose members lie so close
-        that this would more than double it stays in one piece, without its pivots."""
+        that this would more than double it leaves in blocks, without its pivots: more pivots would
+        not part it either."""
         d = self.limit
         every = F.greatest(F.lit(1), F.ceil(F.col("minors") / F.ceil(F.sqrt("members")))).cast("long")
         first = regions.where("minor").groupBy("region").agg(F.min("class").alias("first"))
         drawn = (F.pmod(F.xxhash64("class", "region"), every) == 0) | (F.col("class") == F.col("first"))
         marked = regions.join(first, "region").withColumn("parts", self.parts()).withColumn("is_pivot", F.col("minor") & drawn)
-        marked = stored(marked.select("region", "class", "n", "members", "parts", "is_pivot"))
+        marked = stored(marked.withColumn("blocks", self.blocks()).select("region", "class", "n", "members", "parts", "blocks", "is_pivot"))
         pivots = marked.where("is_pivot").select("region", "class", "parts")
         # pivots are measured against each other as well
         measured = stored(self.measured(marked.select("region", "class", "n", "parts"), pivots))
         links = measured.where("near").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        rest = marked.where("not is_pivot").select("region", "class", "n", "members")
+        rest = marked.where("not is_pivot").select("region", "class", "n", "members", "blocks")
         nearest = measured.groupBy("region", "class").agg(F.min("distance").alias("h"))
         far = rest.join(nearest, ["region", "class"], "left").where(F.coalesce("h", F.lit(1.0)) >= 1 - 2 * d - ROOM)
         close = (
@@ -401,8 +406,19 @@ class _Join:
         whole = stored(rest.groupBy("region").agg(F.first("members").alias("members")).join(copies, "region", "left").where("coalesce(copies, 0) > 2 * members").select("region"))
         far = far.join(whole, "region", "leftanti").select(F.xxhash64("region", F.lit("far")).alias("region"), "class", "n")
         close = close.join(whole, "region", "leftanti").withColumn("region", F.xxhash64("region", "pivot"))
-        kept = rest.join(whole, "region", "leftsemi").select("region", "class", "n")
-        return links, self.windows(close).unionAll(far).unionAll(kept)
+        return links, self.windows(close).unionAll(far).unionAll(self.in_blocks(rest.join(whole, "region", "leftsemi")))
+
+    def blocks(self) -> Column:
+        """Blocks of which two fit a task, with room for uneven ones."""
+        work = F.sqrt(F.col("minors") * F.col("shingles") / FITS_WORK)
+        return F.ceil(3 * F.greatest(F.col("members") / self.fits, F.col("shingles") / self.fits_shingles, work)).cast("long")
+
+    def in_blocks(self, rows: DataFrame) -> DataFrame:
+        """A region for every two blocks: any two members are together in one."""
+        own = rows.withColumn("block", F.pmod(F.xxhash64("class", "region"), F.col("blocks")))
+        both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block or blocks = 1")
+        pair = F.xxhash64("region", F.lit("blocks"), F.least("block", "other"), F.greatest("block", "other"))
+        return both.select(pair.alias("region"), "class", "n")
 
 
 def jaccard_components(
@@ -436,7 +452,8 @@ def jaccard_components(
     inside = measured.join(star.where("meets").select("class", "region"), ["class", "region"], "leftsemi")
     roots = components(edges)
     regions = join.open(join.windows(inside), roots)
-    fit = (F.col("members") <= fits) & (F.col("shingles") <= fits_shingles) | (F.col("members") <= 2)
+    small = (F.col("members") <= fits) & (F.col("shingles") <= fits_shingles) & (F.col("minors") * F.col("shingles") <= FITS_WORK)
+    fit = small | (F.col("members") <= 2)
     while regions.limit(1).count():
         links, rest = join.finished(regions.where(fit)), None
         large = regions.where(~fit)

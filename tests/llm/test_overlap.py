@@ -123,6 +123,23 @@ def near_copies(seed, groups=6, size=9):
     return docs + [(k, None), (k + 1, " \n"), (k + 2, "one"), (k + 3, "One"), (k + 4, "a b"), (0, docs[0][1]), (None, docs[1][1]), (k + 5, "lone\x1cword a b c d e f")]
 
 
+def test_close_copies_without_links_leave_in_blocks(spark, monkeypatch):
+    from tabscope.llm import jaccard
+
+    r = random.Random(5)
+    base = [f"v{i}" for i in range(40)]
+    docs = []
+    for k in range(150):  # linked where the same word is another one: distances of 0.24 and 0.43, nothing between
+        w = list(base)
+        w[k * 7 % 40] = f"x{r.randint(0, 10**6)}"
+        docs.append((k, " ".join(w)))
+    splits, split = [], jaccard._Join.split
+    monkeypatch.setattr(jaccard._Join, "split", lambda self, rows: splits.append(1) or split(self, rows))
+    rows = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), fits=60).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == brute_components(docs)
+    assert len(splits) <= 2
+
+
 @pytest.mark.parametrize(("seed", "fits"), [(1, 128), (2, 2), (3, 3)])
 def test_components_equal_brute_force(spark, seed, fits):
     docs = near_copies(seed)

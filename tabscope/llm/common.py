@@ -76,8 +76,8 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+def word_hashes(limit: int = MEMO_ENTRIES) -> Memo:
+    return Memo(xxhash.xxh3_64_intdigest, limit)
 
 
 def hashed(words: list[bytes], memo: Memo) -> np.ndarray:

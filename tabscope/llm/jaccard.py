@@ -53,6 +53,8 @@ SKETCH, WORD_SKETCH = 1 << 22, 1 << 20
 SLOTS = 320
 #: Bytes of text that a task reads at a time.
 STEP = 1 << 20
+#: Words whose hashes a task keeps.
+MEMO = 1 << 16
 #: Shingles that prefixes of linked sets must share, where the sets are large enough.
 SHARED = 16
 FETCH_BITS = 1 << 23
@@ -126,7 +128,7 @@ def _profile(docs: DataFrame, kind: str, gram: int) -> DataFrame:
     """Per row: id, n, class, row key; and, as rows of slots, the counters of a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counters, id_type = word_hashes(), np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
+        memo, counters, id_type = word_hashes(MEMO), np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
         names = ["id", "n", "class", "check", "row", "slot", "counters"]
         for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
@@ -176,7 +178,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, counters = word_hashes(), set(), shared.value
+        memo, seen, counters = word_hashes(MEMO), set(), shared.value
         rarity = (8 * np.log2(np.maximum(counters[SKETCH:], 1))).astype(np.int64)
         for step in steps(batches, "text", STEP):
             found, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -210,7 +212,7 @@ def _fetch(docs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(fixed_bitmap(rows, "row", FETCH_BITS)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bits = word_hashes(), np.unpackbits(shared.value)
+        memo, bits = word_hashes(MEMO), np.unpackbits(shared.value)
         for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             key = np.array([int.from_bytes(row_key(i, t)[:8], "big") >> 1 for i, t in zip(ids, raw)], np.int64)
@@ -236,7 +238,7 @@ def _linked(common: np.ndarray, n: np.ndarray, m, percent: int) -> np.ndarray:
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], gram: int) -> Iterator[tuple[list[dict], list[np.ndarray], bool]]:
     """Consecutive rows with equal ``keys`` and their sets; the flag marks the last group that
     a step completes. Sets of a step are built together, whatever the groups' sizes."""
-    memo, rows, found, at = word_hashes(), [], [], None
+    memo, rows, found, at = word_hashes(MEMO), [], [], None
     for step in steps(batches, "packed", 1 << 20):
         names = [n for n in step.schema.names if n != "packed"]
         done = []

@@ -13,8 +13,8 @@ documents in blocks and lists a block's distinct runs, with their training count
 the last two context bytes. Lists of a class are summed, salted groups first, so that a class
 holds a run once however many blocks have it; subtrees below two bytes are complete in their
 class, and what is above (256 + 1 contexts of 255 nodes, a fixed bound) is combined on the
-driver and sent to all tasks. The classes give each block its runs' probabilities, in the order of the
-runs and without them, and a block adds them up along its texts. Token counts for the base score go the same way.
+driver and sent to all tasks. The classes give each block its lists back
+with their runs' probabilities, and a block adds them up along its texts. Token counts for the base score go the same way.
 
 Null texts count as empty: the end alone. Rows are scored one by one; repeated rows get equal
 scores. With nothing to learn from, every bit has probability 1/2. Extra columns are ignored.
@@ -70,9 +70,11 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the counts of equal keys, sorted."""
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, counts, len(unique))
+    """Sum of the counts of equal keys, sorted; a stable sort merges lists that are sorted already."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first, dtype=np.float64) if len(first) else np.empty(0)
 
 
 class Nodes:
@@ -208,13 +210,35 @@ def inside(length: np.ndarray, depth: int) -> np.ndarray:
     return np.arange(length.sum()) - np.repeat(starts, length) < np.repeat(length - depth, length)
 
 
+class Lookup:
+    """Values of keys, found by the first bits of a bijective mix of the key; a key that is not there gets any value."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = len(keys).bit_length() + 1  # two to four places a key
+        self.shift = np.uint64(64 - bits)
+        mixed = scrambled(keys)
+        order = np.argsort(mixed)
+        self.mixed = np.append(mixed[order], np.uint64(2**64 - 1))
+        self.values = np.append(values[order], np.zeros(1, values.dtype))
+        self.first = np.searchsorted(mixed[order], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        mixed = scrambled(keys)
+        at = self.first[mixed >> self.shift]
+        early = np.flatnonzero(self.mixed[at] < mixed)
+        while len(early):
+            at[early] += 1
+            early = early[self.mixed[at[early]] < mixed[early]]
+        return self.values[at]
+
+
 class _Block:
     def __init__(self, depth: int) -> None:
         self.depth = depth
         self.docs: list[dict] = []
         self.streams: list[bytes] = []
         self.lists: dict[str, list] = {GRAM: [], WORD: []}
-        self.distinct = self.size = 0
+        self.distinct = self.listed = self.size = 0
         self.digest = xxhash.xxh3_128()
 
     def add(self, ids: list, training: list[bool], raw: list[bytes], memo) -> None:
@@ -234,15 +258,24 @@ class _Block:
         for kind, all_keys, learn, rest in ((GRAM, keys, own & teaches, own & ~teaches), (WORD, np.concatenate(words), word_teaches, ~word_teaches)):
             seen, n = np.unique(all_keys[learn], return_counts=True)
             other = np.unique(all_keys[rest])
-            self.lists[kind].append(added(np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), n.dtype)])))
-        self.distinct += len(self.lists[GRAM][-1][0])
-        if len(self.lists[GRAM]) == 12:
+            keys, counts = added(np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), n.dtype)]))
+            self.lists[kind].append((keys, counts.astype(np.uint32)))
+        self.listed += len(self.lists[GRAM][-1][0])
+
+    def full(self, runs_: int, bytes_: int) -> bool:
+        """Whether the block has more than ``runs_`` distinct runs or ``bytes_`` bytes. Runs that several
+        steps have count once: lists are merged before the sum of their lengths decides."""
+        if len(self.lists[GRAM]) >= 8 or self.listed > 2 * runs_:
             self.merge()
+        return self.distinct > runs_ or self.size > bytes_
 
     def merge(self) -> None:
         for kind, parts in self.lists.items():
-            self.lists[kind] = [added(*(np.concatenate(x) for x in zip(*parts)))]
-        self.distinct = len(self.lists[GRAM][0][0])
+            keys, counts = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            keys, counts = added(keys, counts)
+            parts.append((keys, counts.astype(np.uint32)))
+        self.distinct = self.listed = len(self.lists[GRAM][0][0])
 
     def rows(self, name: str, classes: int, salts: int) -> pa.RecordBatch:
         self.merge()
@@ -310,7 +343,7 @@ def code_lengths(
             ids = step.column(0).to_pylist()
             block.add(ids, learn, raw_texts(step, "text"), memo)
             rows_of.append(step.num_rows)
-            if block.distinct > block_runs or block.size > block_bytes:
+            if block.full(block_runs, block_bytes):
                 number += 1
                 block.rows_of = rows_of
                 yield block.rows(f"{part}-{number}", n_classes, salts)
@@ -362,13 +395,13 @@ def code_lengths(
         else:
             at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
             found = np.where(known[at] == every, n[at], 0) if len(known) else np.zeros(len(every), np.uint64)
-        # values in the order of the list's keys, which the block finds again in its texts
+        # values in the order of the list's keys; the list goes with them
         out = [zstandard.compress(_planes(found[np.searchsorted(every, x)], "<u8"), 3) for x in lists_]
-        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "class": asked.column("class"), "payload": pa.array(out, pa.binary())})
+        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "asked": asked.column("payload"), "payload": pa.array(out, pa.binary())})
 
     asked = scanned.where("kind <> 'h'").select("kind", "class", "salt", F.lit(1).alias("order"), "block", "payload")
     models = learned.select("kind", "class", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("block"), "payload")
-    answers = asked.unionAll(models).groupBy("kind", "class", "salt").applyInArrow(answer, "block string, kind string, class int, payload binary")
+    answers = asked.unionAll(models).groupBy("kind", "class", "salt").applyInArrow(answer, "block string, kind string, asked binary, payload binary")
 
     def score(group: pa.Table) -> pa.Table:
         heads = group.filter(pa.compute.equal(group.column("kind"), "h"))
@@ -376,7 +409,12 @@ def code_lengths(
         if header["used"] != group.num_rows - 1:
             raise ValueError("a block came together incomplete; its input gave other rows on a retry")
         memo, docs = word_hashes(), header["docs"]
-        known_keys: dict[str, list] = {GRAM: [], WORD: []}
+        table = {}
+        for name in (GRAM, WORD):
+            part = group.filter(pa.compute.equal(group.column("kind"), name))
+            keys = [unpack(x)[0] for x in part.column("asked").to_pylist()]
+            values = np.concatenate([_from_planes(zstandard.decompress(x), len(k), "<u8") for k, x in zip(keys, part.column("payload").to_pylist())])
+            table[name] = Lookup(np.concatenate(keys), values)
 
         def read() -> Iterator[tuple]:
             at = 0
@@ -388,29 +426,12 @@ def code_lengths(
                 words = [np.append(hashed(joined[s + depth : s + n].split(), memo), END_KEY) for s, n in zip(starts, length)]
                 yield runs(joined, depth), inside(length, depth), starts, words
 
-        for keys, own, _, words in read():
-            known_keys[GRAM].append(np.unique(keys[own[: len(keys)]]))
-            known_keys[WORD].append(np.unique(np.concatenate(words)))
-            if len(known_keys[GRAM]) == 12:
-                known_keys = {k: [np.unique(np.concatenate(x))] for k, x in known_keys.items()}
-        table = {}
-        for name in (GRAM, WORD):
-            keys = np.unique(np.concatenate(known_keys[name]))
-            own = class_of(name, keys, n_classes)
-            order = np.argsort(own, kind="stable")
-            part = group.filter(pa.compute.equal(group.column("kind"), name)).sort_by("class")
-            counts_ = np.bincount(own, minlength=n_classes)
-            values = [_from_planes(zstandard.decompress(x), counts_[c], "<u8") for c, x in zip(part.column("class").to_pylist(), part.column("payload").to_pylist())]
-            table[name] = keys, np.empty(len(keys), np.uint64)
-            table[name][1][order] = np.concatenate(values)
         score_, base, known = [], [], []
         for found, own, starts, words in read():
-            keys, values = table[GRAM]
-            logs = np.append(values[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] / -PARTS, np.zeros(depth))
+            logs = np.append(table[GRAM][found] / -PARTS, np.zeros(depth))
             score_.append(np.add.reduceat(np.where(own, logs, 0.0).astype(np.float64), starts))
-            keys, values = table[WORD]
             sizes = np.array(list(map(len, words)))
-            c = values[np.searchsorted(keys, np.concatenate(words))].astype(np.float64)
+            c = table[WORD][np.concatenate(words)].astype(np.float64)
             first_ = np.cumsum(sizes) - sizes
             base.append(np.add.reduceat(np.log10((c + 1) / (n_train + n_distinct + 1)), first_))
             known.append(np.add.reduceat((c > 0).astype(np.int64), first_))
@@ -425,7 +446,7 @@ def code_lengths(
             }
         )
 
-    heads = scanned.where("kind = 'h'").select("block", "kind", "class", "payload", "used", "docs", "rows", "streams")
-    back = answers.select("block", "kind", "class", "payload", *[F.lit(None).cast(t).alias(n) for n, t in (("used", "int"), ("docs", doc), ("rows", "array<int>"), ("streams", "array<binary>"))])
+    heads = scanned.where("kind = 'h'").select("block", "kind", F.lit(None).cast("binary").alias("asked"), "payload", "used", "docs", "rows", "streams")
+    back = answers.select("block", "kind", "asked", "payload", *[F.lit(None).cast(t).alias(n) for n, t in (("used", "int"), ("docs", doc), ("rows", "array<int>"), ("streams", "array<binary>"))])
     out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return heads.unionAll(back).groupBy("block").applyInArrow(score, out).withColumnRenamed("id", id_col)

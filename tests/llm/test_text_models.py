@@ -204,6 +204,26 @@ def test_code_lengths_by_depth(spark, depth):
         assert np.allclose([r.score for r in default], want, atol=2e-3)
 
 
+def test_a_block_goes_on_while_its_steps_repeat_their_runs(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ctw, "stored", lambda df, own=ctw.stored: kept.append(own(df)) or kept[-1])
+    text = " ".join(f"word{i}" for i in range(100))
+    distinct = len(set(ctw.runs(ctw.stream(text.encode())[1]).tolist()))
+    df = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
+    rows = ctw.code_lengths(df, F.lit(True), block_runs=2 * distinct, step_bytes=len(text)).collect()
+    assert len(rows) == 40 and len({r.score for r in rows}) == 1
+    assert kept[0].where("kind = 'h'").count() == 1
+    assert sum(len(ctw.unpack(r.payload)[0]) for r in kept[0].where("kind = 'g'").collect()) <= distinct + ctw.DEPTH
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 50_000])
+def test_lookup_finds_each_key(n):
+    keys = np.unique(np.append(np.random.default_rng(n).integers(0, 1 << 56, n).astype(np.uint64), np.arange(n, dtype=np.uint64)))
+    found = ctw.Lookup(keys, keys * np.uint64(3))
+    assert (found[keys[::-1]] == keys[::-1] * np.uint64(3)).all()
+    assert len(found[np.array([2**64 - 1, 1 << 60, 5], np.uint64)]) == 3
+
+
 @pytest.mark.parametrize("depth", [2, 5, 6, 7])
 def test_packed_runs_come_back(depth):
     words = np.random.default_rng(1).choice(["the", "and", "table", "of", "window", "runs", "small"], 20_000)

@@ -44,8 +44,9 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACED, fixed_bitmap, grams, hashed, raw_texts, row_key, source, steps, stored, word_hashes
+from .common import SPACED, fixed_bitmap, grams, raw_texts, row_key, scrambled, source, steps, stored
 from .components import components
 
 #: Counters of the frequency sketch, of shingles and of words, and bits of the bitmap of texts to fetch.
@@ -53,8 +54,8 @@ SKETCH, WORD_SKETCH = 1 << 22, 1 << 20
 SLOTS = 320
 #: Bytes of text that a task reads at a time.
 STEP = 1 << 20
-#: Words whose hashes a task keeps.
-MEMO = 1 << 16
+#: Bytes up to which words are hashed together, eight bytes of each at a time; longer ones are hashed one by one.
+LONG_WORD = 64
 #: Shingles that prefixes of linked sets must share, where the sets are large enough.
 SHARED = 16
 FETCH_BITS = 1 << 23
@@ -65,13 +66,45 @@ PART, PART_SHINGLES = 128, 1_000_000
 ROOM = 1e-9
 
 
-def words_of(raw: list[bytes], memo) -> list[np.ndarray]:
-    return [hashed(t.translate(SPACED).split(), memo) for t in raw]
-
-
-def sets(raw: list[bytes], gram: int, memo) -> list[np.ndarray]:
+def words_of(raw: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text, in order; those of all texts are computed together."""
+    sizes = np.array([len(t) + 1 for t in raw])
+    joined = b" ".join([t.translate(SPACED) for t in raw]) + b" " * 8
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    # a word stands before each space that does not follow another
+    before = np.concatenate([[-1], spaces[:-1]])
+    own = spaces - before > 1
+    starts, lengths = before[own] + 1, (spaces - before)[own] - 1
+    lanes = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    found, at, done = scrambled(lengths), np.flatnonzero(lengths <= LONG_WORD), 0
+    while len(at):
+        lane, rest = lanes[starts[at] + done], lengths[at] - done
+        short = rest < 8
+        lane[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+        found[at] = scrambled(found[at] ^ lane)
+        at, done = at[rest > 8], done + 8
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        found[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : starts[i] + lengths[i]])
+    ends = np.searchsorted(starts, np.cumsum(sizes))
+    return np.split(found, ends[:-1])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    found = np.sort(values)
+    return found[_first(found)]
+
+
+def _first(ordered: np.ndarray) -> np.ndarray:
+    """Whether a sorted value differs from the one before."""
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
+
+
+def sets(raw: list[bytes], gram: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    return [np.unique(x) for x in shingles(words_of(raw, memo), gram)]
+    return [distinct(x) for x in shingles(words_of(raw), gram)]
 
 
 def shingles(words: list[np.ndarray], gram: int) -> list[np.ndarray]:
@@ -87,18 +120,23 @@ def shingles(words: list[np.ndarray], gram: int) -> list[np.ndarray]:
     return out
 
 
-def ordered(own: np.ndarray, words: np.ndarray, gram: int, sketch: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """A text's distinct shingles, rare ones first.
+def ordered(own: np.ndarray, words: np.ndarray, gram: int, power: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's sorted distinct shingles, and these with rare ones first.
 
     The order is one for all texts: by the power of two of a shingle's counter (passages that
     many texts share stand out in it), then by how frequent its words are (few common words in
     a row may meet anywhere), then by hash."""
-    found, first = np.unique(own, return_index=True)
+    at = np.argsort(own)
+    found = own[at]
+    first = _first(found)
+    found, at = found[first], at[first]
     total = np.concatenate([[0], np.cumsum(rarity[(words & np.uint64(WORD_SKETCH - 1)).astype(np.int64)], dtype=np.int64)])
     width = min(gram, len(words))
-    common = (total[width:] - total[:-width])[first].astype(np.uint64)
-    power = np.log2(np.maximum(sketch[(found & np.uint64(SKETCH - 1)).astype(np.int64)], 1)).astype(np.uint64)
-    return found[np.argsort(power << np.uint64(32) | common, kind="stable")]
+    common = np.minimum(total[at + width] - total[at], 0xFFFFF)
+    # the place in the order of hashes is the lower half of a number
+    keys = power[(found & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64) << 52 | common << 32 | np.arange(len(found))
+    keys.sort()
+    return found, found[keys & 0xFFFFFFFF]
 
 
 def class_key(found: np.ndarray) -> int:
@@ -128,13 +166,13 @@ def _profile(docs: DataFrame, kind: str, gram: int) -> DataFrame:
     """Per row: id, n, class, row key; and, as rows of slots, the counters of a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counters, id_type = word_hashes(MEMO), np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
+        counters, id_type = np.zeros(SKETCH + WORD_SKETCH, np.uint32), None
         names = ["id", "n", "class", "check", "row", "slot", "counters"]
         for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             id_type = step.column(0).type
-            words = words_of(raw, memo)
-            found = [np.unique(x) for x in shingles(words, gram)]
+            words = words_of(raw)
+            found = [distinct(x) for x in shingles(words, gram)]
             for part, x, size in ((counters[:SKETCH], found, SKETCH), (counters[SKETCH:], words, WORD_SKETCH)):
                 np.add.at(part, (np.concatenate(x) & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
             n = len(raw)
@@ -178,31 +216,35 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, counters = word_hashes(MEMO), set(), shared.value
-        rarity = (8 * np.log2(np.maximum(counters[SKETCH:], 1))).astype(np.int64)
+        seen, counters = set(), shared.value
+        rarity = (8 * np.log2(np.maximum(counters[SKETCH:], 1))).astype(np.int32)
+        power = np.log2(np.maximum(counters[:SKETCH], 1)).astype(np.uint8)
         for step in steps(batches, "text", STEP):
             found, classes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            words = words_of(raw_texts(step, "text"), memo)
+            words = words_of(raw_texts(step, "text"))
             for own, text in zip(shingles(words, gram), words):
-                if not len(own) or (key := class_key(np.unique(own))) in seen:
+                if not len(own):
+                    continue
+                own_set, in_order = ordered(own, text, gram, power, rarity)
+                if (key := class_key(own_set)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                in_order = ordered(own, text, gram, counters, rarity)
                 first = in_order[: prefix_size(len(in_order), percent)]
                 found.append(first)
                 classes.append(np.full(len(first), key))
             yield pa.RecordBatch.from_arrays([_long(np.concatenate(found)), _long(np.concatenate(classes))], ["shingle", "class"])
 
-    # filters that joins would infer stand here, so that all branches share one exchange
-    return docs.mapInArrow(scan, "shingle long, class long").where("shingle is not null and class is not null")
+    return docs.mapInArrow(scan, "shingle long, class long")
 
 
 def _sifted(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(shingle, class) of shingles that several classes have, without classes that share too few to be linked."""
-    several = pairs.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
-    rows = stored(pairs.join(several, "shingle").select("shingle", "class"))
+    # rows are sorted once, by shingle; a class may come from several tasks
+    own = Window.partitionBy("shingle")
+    several = pairs.withColumns({"least": F.min("class").over(own), "most": F.max("class").over(own)}).where("least < most")
+    rows = stored(several.select("shingle", "class").distinct())
     found = rows.groupBy("class").agg(F.count("*").alias("k")).join(sizes, "class").where(F.col("k") >= must_share(F.col("n"), percent))
     return stored(rows.join(found.select("class"), "class", "leftsemi"))
 
@@ -212,13 +254,13 @@ def _fetch(docs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(fixed_bitmap(rows, "row", FETCH_BITS)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bits = word_hashes(MEMO), np.unpackbits(shared.value)
+        bits = np.unpackbits(shared.value)
         for step in steps(batches, "text", STEP):
             raw, ids = raw_texts(step, "text"), step.column(0).to_pylist()
             key = np.array([int.from_bytes(row_key(i, t)[:8], "big") >> 1 for i, t in zip(ids, raw)], np.int64)
             own = np.flatnonzero(bits[key & (FETCH_BITS - 1)])
             if len(own):
-                found = sets([raw[i] for i in own], gram, memo)
+                found = sets([raw[i] for i in own], gram)
                 keep = [(i, x) for i, x in zip(own, found) if len(x)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -238,12 +280,12 @@ def _linked(common: np.ndarray, n: np.ndarray, m, percent: int) -> np.ndarray:
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], gram: int) -> Iterator[tuple[list[dict], list[np.ndarray], bool]]:
     """Consecutive rows with equal ``keys`` and their sets; the flag marks the last group that
     a step completes. Sets of a step are built together, whatever the groups' sizes."""
-    memo, rows, found, at = word_hashes(MEMO), [], [], None
+    rows, found, at = [], [], None
     for step in steps(batches, "packed", 1 << 20):
         names = [n for n in step.schema.names if n != "packed"]
         done = []
         packed = step.column(step.schema.get_field_index("packed")).to_pylist()
-        for row, own in zip(step.select(names).to_pylist(), sets([zstandard.decompress(x) for x in packed], gram, memo)):
+        for row, own in zip(step.select(names).to_pylist(), sets([zstandard.decompress(x) for x in packed], gram)):
             key = [row[k] for k in keys]
             if key != at and rows:
                 done.append((rows, found))
@@ -434,7 +476,7 @@ def jaccard_components(
     classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     if classes.where("low <> high").limit(1).count():
         raise ValueError("two different sets have the same 64-bit key")
-    pairs = _prefixes(docs, _sketch(profile), gram, percent).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle").groupBy("shingle", "class").agg(F.lit(1).alias("one"))
+    pairs = _prefixes(docs, _sketch(profile), gram, percent)
     met = _sifted(pairs, classes.select("class", "n"), percent)
     elected = met.groupBy("shingle").agg(F.min("class").alias("pivot"), F.count("*").alias("k")).where("k > 1")
     # one row per member and pivot, however many shingles they share

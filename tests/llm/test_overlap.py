@@ -193,3 +193,39 @@ def test_queries_whole(spark):
     assert len(rows) == len(docs) and all(r.contaminated == (r.n_hit > 0) for r in rows)
     assert all(r.items_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if not r.n_items)
     assert op4_decontamination(spark, SF).where(F.col("contaminated")).count() > 0
+
+
+def test_words_of_a_step_are_hashed_together(monkeypatch):
+    import numpy as np
+
+    from tabscope.llm import jaccard
+
+    calls, original = [], jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", lambda *a: calls.append(a) or original(*a))
+    rng = random.Random(5)
+    made = ["".join(rng.choice("abcXYZ\u00e9\u4e2d\x00.") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 20]))) for _ in range(5000)]
+    odd = ["", " ", "\t\r\n\x0b\x0c", "x" * 64, "x" * 65, "a " + "y" * 300 + " B", "a\x00", "a\x00\x00", "a"]
+    texts = [*odd, " ".join(made), *odd, "  ".join(made[::-1]), ""]
+    got = jaccard.words_of([t.encode() for t in texts])
+    words = [TOKENS.findall(t.translate(LOWER)) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in words]
+    pairs = {(w, h) for own, found in zip(words, got) for w, h in zip(own, found.tolist())}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    # only the long words, two in either list of odd texts, are hashed one by one
+    assert len(calls) == 4
+    assert [len(x) for x in jaccard.words_of([b""])] == [0]
+    values = np.array([3, 1, 3, 2, 1], np.uint64)
+    assert jaccard.distinct(values).tolist() == [1, 2, 3] and jaccard.distinct(values[:0]).tolist() == []
+
+
+def test_shared_shingles_are_found_by_one_sort(spark, monkeypatch):
+    from tabscope.llm import jaccard
+
+    plans, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    rows = [(s, c) for c in range(3) for s in range(4)] * 2 + [(9, 7), (9, 7), (8, 7)]
+    pairs = spark.createDataFrame(rows, "shingle long, class long").repartition(4, "shingle")
+    sizes = spark.createDataFrame([(0, 4), (1, 4), (2, 4), (7, 2)], "class long, n long")
+    found = jaccard._sifted(pairs, sizes, 75)
+    assert sorted(map(tuple, found.select("shingle", "class").collect())) == [(s, c) for s in range(4) for c in range(3)]
+    assert "Join" not in plans[0] and plans[0].count("Exchange") == 1
